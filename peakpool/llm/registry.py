@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from peakpool.llm import simhash
+from peakpool.llm import bpe, decontaminate, simhash
 
 
 def queries() -> dict:
-    return {"op5_simhash": simhash.op5_simhash}
+    return {"op1_bpe": bpe.op1_bpe, "op5_simhash": simhash.op5_simhash, "op7_decontaminate": decontaminate.op7_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
