@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from peakpool.llm import bpe, decontaminate, simhash
+from peakpool.llm import bpe, decontaminate, htmltext, quality, simhash, urlfilter
 
 
 def queries() -> dict:
-    return {"op1_bpe": bpe.op1_bpe, "op5_simhash": simhash.op5_simhash, "op7_decontaminate": decontaminate.op7_decontaminate}
+    return {"op1_bpe": bpe.op1_bpe, "op4_urlfilter": urlfilter.op4_urlfilter, "op5_simhash": simhash.op5_simhash, "op6_quality": quality.op6_quality, "op7_decontaminate": decontaminate.op7_decontaminate, "op8_htmltext": htmltext.op8_htmltext}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_urlfilter": urlfilter.sql()}
