@@ -56,8 +56,9 @@ def distances(fp: np.ndarray, masks: list[int]) -> np.ndarray:
 
 
 def levels_for(n: int, cell_points: int) -> int:
-    """The least number of top levels at which the fullest shard of n evenly spread fingerprints has cell_points at most."""
-    for levels in (1, 2, 3, 4, 6):
+    """The least number of top levels, two or more, at which the fullest shard of n evenly spread fingerprints has cell_points
+    at most. One level would deal all into some twenty shards only."""
+    for levels in (2, 3, 4, 6):
         width = 64 // levels
         if n * (comb(width, width // 2) / 2**width) ** levels <= cell_points:
             return levels
@@ -117,7 +118,7 @@ def link(fp: np.ndarray, left: np.ndarray, right: np.ndarray, forest: Forest, ra
                 link(fp, x, y, forest, radius, level + 1, rest - abs(int(d) - int(e)), masks)
 
 
-def links(fps: DataFrame, radius: int = 3, cell_points: int = 20_000) -> DataFrame:
+def links(fps: DataFrame, radius: int = 3, cell_points: int = 100_000) -> DataFrame:
     """Distinct fingerprints (fp) -> edges (u, v) that connect just those that are linked by steps of radius or less.
 
     The top levels of the tree deal fingerprints into shards by their distances to the vantage point; each also visits the
