@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +41,9 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of df's scan, from file sizes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    """Catalyst's estimate of the size of df's scan, from file sizes; 16 MB for each partition where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else df.rdd.getNumPartitions() << 24
 
 
 def part_count(df: DataFrame, mb: int = 8, least: int = 4) -> int:
@@ -71,3 +74,34 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
     return x
+
+
+def pack(*arrays) -> bytes:
+    """Arrays as one compressed value, to be moved as a single cell."""
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
+
+
+def unpack(cell: bytes):
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(cell))
+
+
+def dealt(to: np.ndarray, *arrays: np.ndarray):
+    """(value of to, the arrays' parts with that value), for each value."""
+    order = np.argsort(to, kind="stable")
+    to = to[order]
+    cut = np.flatnonzero(np.diff(to)) + 1
+    parts = [np.split(a[order], cut) for a in arrays]
+    for i, t in enumerate(to[np.concatenate([[0], cut])].tolist() if len(to) else []):
+        yield t, *(p[i] for p in parts)
+
+
+def joined(cells) -> list[np.ndarray]:
+    """The arrays of several packed cells, each concatenated."""
+    return [np.concatenate(x) for x in zip(*map(unpack, cells), strict=True)]
+
+
+def cells(rows: list[tuple[int, bytes]]) -> pa.Table:
+    return pa.table({"to": pa.array([r[0] for r in rows], pa.int32()), "payload": pa.array([r[1] for r in rows], pa.binary())})
+
+
+CELLS = "to int, payload binary"

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from peakpool.llm import bpe, decontaminate, htmltext, quality, simhash, urlfilter
+from peakpool.llm import bpe, decontaminate, htmltext, quality, simhash, substrings, urlfilter
 
 
 def queries() -> dict:
-    return {"op1_bpe": bpe.op1_bpe, "op4_urlfilter": urlfilter.op4_urlfilter, "op5_simhash": simhash.op5_simhash, "op6_quality": quality.op6_quality, "op7_decontaminate": decontaminate.op7_decontaminate, "op8_htmltext": htmltext.op8_htmltext}
+    return {"op1_bpe": bpe.op1_bpe, "op4_urlfilter": urlfilter.op4_urlfilter, "op5_simhash": simhash.op5_simhash, "op6_quality": quality.op6_quality, "op7_decontaminate": decontaminate.op7_decontaminate, "op8_htmltext": htmltext.op8_htmltext, "op9_substrings": substrings.op9_substrings}
 
 
 def oracle_sql() -> dict[str, str]:
