@@ -77,16 +77,16 @@ def text_groups(texts: list[bytes], step: int = 1 << 18):
             at, size = i + 1, 0
 
 
-def find_anchors(texts: list[bytes], length: int):
+def find_anchors(texts: list[bytes], length: int, part: int = PART):
     """(text number, position, key, context hash, windows before the anchor's: first and last distance) of all anchors."""
     out = [[] for _ in range(6)]
     for first, group in text_groups(texts):
-        if sum(map(len, group)) < 1 << 23:
+        if sum(map(len, group)) < 2 * part:
             _append(out, first, group, length)
             continue
         for k, t in enumerate(group):  # a very long text in overlapping parts, each window in one part
-            for at in range(0, max(1, len(t)), PART):
-                _append(out, first + k, [t[at : at + PART + length - 1]], length, at)
+            for at in range(0, max(1, len(t)), part):
+                _append(out, first + k, [t[at : at + part + length - 1]], length, at)
     kinds = [np.int64, np.int64, np.uint64, np.uint64, np.int64, np.int64]
     return [np.concatenate(x) if x else np.empty(0, k) for x, k in zip(out, kinds, strict=True)]
 
@@ -210,7 +210,7 @@ def runs(owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return owner[first], at[first], at[np.concatenate([cut, [len(at)]]) - 1]
 
 
-def resolve(group, doc, th, start, size, text: bytes, length: int):
+def resolve(group, doc, th, start, size, text: bytes, length: int, transform: int = TRANSFORM):
     """(doc, th, first, last) runs of windows of the given contexts that equal a window of an earlier place in the same group.
     Contexts: their place in a text (start), their length (size), their bytes one after another (text)."""
     rank = np.empty(len(group), np.int64)
@@ -220,7 +220,7 @@ def resolve(group, doc, th, start, size, text: bytes, length: int):
     total, new = np.cumsum(size[by]), np.concatenate([[True], np.diff(group[by]) != 0])
     block = np.zeros(len(by), np.int64)
     lead = np.flatnonzero(new)
-    block[lead] = (total[lead] - size[by][lead]) // TRANSFORM
+    block[lead] = (total[lead] - size[by][lead]) // transform
     block = np.maximum.accumulate(block)
     out = []
     for some in np.split(by, np.flatnonzero(np.diff(block)) + 1):
@@ -259,7 +259,7 @@ NULL_ID = -(1 << 63)
 DONE = "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, with_text: bool = True) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, with_text: bool = True, hot: int = HOT, transform: int = TRANSFORM, part: int = PART) -> DataFrame:
     """One row per row of docs: id, n_bytes, n_removed, n_spans, kept (binary: the remaining bytes, or with_text=False their
     SHA-256 in hex, as UTF-8).
 
@@ -274,7 +274,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     2. The other anchors' contexts, one for each different context, are sent to their hash's bucket, where a Burrows-Wheeler
        transform of all contexts gives the classes of equal windows; all but the first of a class are repeated.
     3. What is repeated is sent to its document and cut out there.
-    A hash with over HOT contexts is dealt further by blocks of windows and the bytes that those have in common; contexts that
+    A hash with over `hot` contexts is dealt further by blocks of windows and the bytes that those have in common; contexts that
     are then equal are sent once from each bucket of documents.
     """
     if length < GRAM + 1 or length - GRAM + 1 > 1 << 16:
@@ -292,7 +292,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             texts = [t or b"" for t in as_bytes(b.column(1))]
             doc, th = identity(b.column(0), texts)
             for first, group in text_groups(texts, 1 << 23):
-                no, pos, key, ctx, back, fore = find_anchors(group, length)
+                no, pos, key, ctx, back, fore = find_anchors(group, length, part)
                 no += first
                 rows = [(to, pack(doc[i], th[i], p.astype(np.int32), k, c, x.astype(np.uint16), y.astype(np.uint16))) for to, i, p, k, c, x, y in dealt((key % np.uint64(n)).astype(np.int32), no, pos, key, ctx, back, fore)]
                 if rows:
@@ -304,9 +304,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         k = np.cumsum(new_key) - 1
         kinds = np.bincount(k[new_ctx], minlength=1)[k]
         full, some = order[~new_ctx], order[new_ctx & (kinds > 1)]
-        hot = (kinds > HOT)[new_ctx & (kinds > 1)]
+        many = (kinds > hot)[new_ctx & (kinds > 1)]
         both = np.concatenate([full, some])
-        what = np.concatenate([np.zeros(len(full), np.int8), np.where(hot, 2, 1).astype(np.int8)])
+        what = np.concatenate([np.zeros(len(full), np.int8), np.where(many, 2, 1).astype(np.int8)])
         d = doc[both]
         return cells([(to, pack(*x)) for to, *x in dealt(spread(d, n), d, th[both], pos[both], back[both], fore[both], key[both], what)])
 
@@ -343,15 +343,15 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 for f in range((p - hi) // BLOCK, (p - lo) // BLOCK + 1):  # hot: blocks of windows at fixed distances before the anchor
                     x, y = max(lo, p - (f + 1) * BLOCK + 1), min(hi, p - f * BLOCK)
                     c0, c1 = p - f * BLOCK, p - (f + 1) * BLOCK + 1 + length  # bytes that all windows of the block have in common
-                    part = t[x : y + length]
+                    piece = t[x : y + length]
                     group = xxhash.xxh64_intdigest(t[c0:c1], int(key[m]) + f & (1 << 64) - 1)
-                    old = seen.get((group, p - x, part))
+                    old = seen.get((group, p - x, piece))
                     if old is None or (*name, x) < old:
-                        seen[group, p - x, part] = (*name, x)
+                        seen[group, p - x, piece] = (*name, x)
                     late = max((*name, x), old) if old else None
                     if late:
                         local.setdefault(late[:2], []).append((late[2], late[2] + y - x))
-        sent += [(g, d, h, x, part) for (g, _, part), (d, h, x) in seen.items()]
+        sent += [(g, d, h, x, piece) for (g, _, piece), (d, h, x) in seen.items()]
         if sent:
             g = np.array([s[0] for s in sent], np.uint64)
             cols = [np.array([s[k] for s in sent], np.int64) for k in (1, 2, 3)]
@@ -375,7 +375,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def compare(t: pa.Table) -> pa.Table:
         group, doc, th, start, size, text = joined(t.column("payload").to_pylist())
-        doc, th, lo, hi = resolve(group, doc, th, start, size, text.tobytes(), length)
+        doc, th, lo, hi = resolve(group, doc, th, start, size, text.tobytes(), length, transform)
         return cells([(to, pack(*x)) for to, *x in dealt(spread(doc, n), doc, th, lo, hi)])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:

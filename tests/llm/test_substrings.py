@@ -66,7 +66,7 @@ def test_prefix_classes_are_exact():
         assert len(words) == len(set(words))
 
 
-def test_matches_brute_force(spark, monkeypatch):
+def test_matches_brute_force(spark):
     texts = corpus(4, 120)
     rows = [(i * 3 + 1, t, 0) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, kept int")
@@ -77,31 +77,21 @@ def test_matches_brute_force(spark, monkeypatch):
         assert got == list(want(docs, length))
 
 
-def test_hot_keys_and_long_texts_are_exact(spark, monkeypatch):
-    monkeypatch.setattr(S, "HOT", 3)
-    monkeypatch.setattr(S, "TRANSFORM", 500)
-    monkeypatch.setattr(S, "PART", 200)
+def test_hot_keys_and_long_texts_are_exact(spark):
     rng = random.Random(9)
     passage = "".join(rng.choice("abcdefgh ") for _ in range(180))
     texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 150))) + passage[rng.randint(0, 40) :] + "".join(rng.choice("abcdefgh ") for _ in range(30)) for _ in range(60)]
     docs = [(i, t.encode()) for i, t in enumerate(texts)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in S.dedup_substrings(df).collect())
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in S.dedup_substrings(df, hot=3, transform=500, part=90).collect())
     assert got == list(want(docs, 100))
-    long = S.find_anchors([t for _, t in docs], 100)
-    assert len(long[0]) > 0
 
 
-def test_a_long_text_in_parts(monkeypatch):
+def test_a_long_text_in_parts():
     rng = random.Random(1)
     t = "".join(rng.choice("abc ") for _ in range(3000)).encode()
     whole = S.find_anchors([t], 100)
-    monkeypatch.setattr(S, "PART", 256)
-    monkeypatch.setattr(S, "text_groups", lambda texts, step=0: [(0, texts)])
-    out = [[] for _ in range(6)]
-    for at in range(0, len(t), 256):
-        S._append(out, 0, [t[at : at + 256 + 99]], 100, at)
-    pos, back, fore = (np.concatenate(out[i]) for i in (1, 4, 5))
+    _, pos, _, _, back, fore = S.find_anchors([t], 100, 256)
     covered = sorted(s for p, b, f in zip(pos, back, fore) for s in range(p - b, p - f + 1))
     assert covered == list(range(len(t) - 99))
     assert set(pos) == set(whole[1])
