@@ -110,3 +110,13 @@ def cells(rows: list[tuple[int, bytes]]) -> pa.Table:
 
 
 CELLS = "to int, payload binary"
+
+
+def handed(carry: list[str] | None) -> list:
+    """The columns to be handed on, as one struct; none if there are none."""
+    return [F.struct(*carry).alias("carry")] if carry else []
+
+
+def handed_on(df: DataFrame) -> tuple[DataFrame, str]:
+    """df, and what its schema needs to hand on its struct `carry`."""
+    return df, f", carry {df.schema['carry'].dataType.simpleString()}" if "carry" in df.columns else ""

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakpool.llm.common import as_bytes, table
+from peakpool.llm.common import as_bytes, handed, handed_on, table
 
 #: Bytes that are part of a word: digits, A-Z (lower-cased), a-z and all of non-ASCII characters; others become a space.
 WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -152,8 +152,9 @@ def automaton(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "
     return spark.sparkContext.broadcast(Automaton(sorted((r[0], bytes(r[1]) if r[1] is not None else b"") for r in rows), window))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 8, min_items: int = 2, max_coverage: float = 0.5) -> DataFrame:
-    """One row per row of docs: id, n_words, n_hit, items (sorted item ids as text), contaminated, drop, cleaned_text.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 8, min_items: int = 2, max_coverage: float = 0.5, carry: list[str] | None = None) -> DataFrame:
+    """One row per row of docs: id, n_words, n_hit, items (sorted item ids as text), contaminated, drop, cleaned_text; carry:
+    columns to be handed on in a struct `carry`.
 
     A window is `window` consecutive words of an item, or a shorter item's all words; a document's word inside any occurrence
     of a window is hit. contaminated: windows of min_items items or more occur. cleaned_text is the text without hit words;
@@ -174,10 +175,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.bool_(), pa.bool_(), pa.binary()]
             arrays = [pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([ids, *arrays[:5], arrays[5].cast(pa.string())], [id_col, "n_words", "n_hit", "items", "contaminated", "drop", "cleaned_text"])
+            yield pa.RecordBatch.from_arrays([ids, *arrays[:5], arrays[5].cast(pa.string()), *b.columns[2:]], [id_col, "n_words", "n_hit", "items", "contaminated", "drop", "cleaned_text", *b.schema.names[2:]])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_words bigint, n_hit bigint, items array<string>, contaminated boolean, drop boolean, cleaned_text string")
+    own, more = handed_on(docs.select(id_col, text_col, *handed(carry)))
+    return own.mapInArrow(run, f"`{id_col}` {kind}, n_words bigint, n_hit bigint, items array<string>, contaminated boolean, drop boolean, cleaned_text string{more}")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakpool.llm.common import CELLS, as_bytes, cells, dealt, joined, mix64, pack, part_count, table, unpack, written
+from peakpool.llm.common import CELLS, as_bytes, cells, dealt, handed, handed_on, joined, mix64, pack, part_count, table, unpack, written
 
 #: Bytes of the grams whose hashes choose a window's anchor.
 GRAM = 32
@@ -259,9 +259,9 @@ NULL_ID = -(1 << 63)
 DONE = "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, with_text: bool = True, hot: int = HOT, transform: int = TRANSFORM, part: int = PART) -> DataFrame:
-    """One row per row of docs: id, n_bytes, n_removed, n_spans, kept (binary: the remaining bytes, or with_text=False their
-    SHA-256 in hex, as UTF-8).
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, keep: str = "bytes", hot: int = HOT, transform: int = TRANSFORM, part: int = PART, carry: list[str] | None = None) -> DataFrame:
+    """One row per row of docs: id, n_bytes, n_removed, n_spans, kept (binary: the remaining bytes; keep="text": without what
+    is left of characters that are cut in two; keep="digest": their SHA-256 in hex, as UTF-8); carry: columns to be handed on in a struct `carry`.
 
     Each byte is removed that is covered by a string of `length` bytes which also starts earlier: in a row with a smaller id,
     or earlier in the same row. Matches never cross rows, overlaps count, and strings are judged on the input. Ids are
@@ -280,6 +280,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if length < GRAM + 1 or length - GRAM + 1 > 1 << 16:
         raise ValueError("length must be over 32 bytes")
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    whole, more = handed_on(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), *handed(carry)))
     n = part_count(docs)
     twice = own.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
 
@@ -312,13 +313,20 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def finished(text: bytes, lo, hi):
         removed, spans, kept = cut_out(text, lo, hi, length)
-        return len(text), removed, spans, kept if with_text else hashlib.sha256(kept).hexdigest().encode()
+        if keep == "digest":
+            kept = hashlib.sha256(kept).hexdigest().encode()
+        elif keep == "text" and removed:
+            kept = kept.decode("utf-8", "ignore").encode()
+        return len(text), removed, spans, kept
 
     def settle(left: pa.Table, right: pa.Table) -> pa.Table:
         """Documents of a bucket with what is known of their anchors: settled rows, rows that wait, contexts to compare."""
         out = {c: [] for c in ("kind", "id", "to", "payload", "n_bytes", "n_removed", "n_spans", "kept")}
 
-        def put(**row) -> None:
+        of: list[int | None] = []  # the row of left that each row is about
+
+        def put(i: int | None = None, **row) -> None:
+            of.append(i)
             for c, x in out.items():
                 x.append(row.get(c))
 
@@ -366,12 +374,13 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             more = np.array(local.get(name, []), np.int64).reshape(-1, 2)
             lo, hi = np.concatenate([pos[full] - back[full], more[:, 0]]), np.concatenate([pos[full] - fore[full], more[:, 1]])
             if name in waits:
-                put(kind=1, id=ids[i].as_py(), to=here, payload=pack(lo, hi), kept=t)
+                put(i, kind=1, id=ids[i].as_py(), to=here, payload=pack(lo, hi), kept=t)
             else:
                 size, removed, spans, kept = finished(t, lo, hi)
-                put(kind=0, id=ids[i].as_py(), n_bytes=size, n_removed=removed, n_spans=spans, kept=kept)
+                put(i, kind=0, id=ids[i].as_py(), n_bytes=size, n_removed=removed, n_spans=spans, kept=kept)
         kinds = {"kind": pa.int32(), "id": pa.int64(), "to": pa.int32(), "payload": pa.binary(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary()}
-        return pa.table({c: pa.array(x, kinds[c]) for c, x in out.items()})
+        rest = {"carry": left.column("carry").combine_chunks().take(pa.array(of, pa.int64()))} if carry else {}
+        return pa.table({c: pa.array(x, kinds[c]) for c, x in out.items()} | rest)
 
     def compare(t: pa.Table) -> pa.Table:
         group, doc, th, start, size, text = joined(t.column("payload").to_pylist())
@@ -391,17 +400,18 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             more = unpack(known)
             out.append(finished(t, np.concatenate([more[0], lo[mine]]), np.concatenate([more[1], hi[mine]])))
         cols = list(zip(*out, strict=True)) if out else [[]] * 4
-        return pa.table({"id": left.column("id"), **{c: pa.array(list(x), pa.binary() if c == "kept" else pa.int64()) for c, x in zip(("n_bytes", "n_removed", "n_spans", "kept"), cols, strict=True)}})
+        return pa.table({"id": left.column("id"), **{c: pa.array(list(x), pa.binary() if c == "kept" else pa.int64()) for c, x in zip(("n_bytes", "n_removed", "n_spans", "kept"), cols, strict=True)}, **({"carry": left.column("carry")} if carry else {})})
 
+    kept_on = ["carry"] if carry else []
     known = own.mapInArrow(scan, CELLS).groupBy("to").applyInArrow(classify, CELLS)
-    dealt_docs = own.withColumn("to", place(F.coalesce("id", F.lit(NULL_ID)), n))
-    state = written(dealt_docs.groupBy("to").cogroup(known.groupBy("to")).applyInArrow(settle, f"kind int, id bigint, {CELLS}, {DONE}"))
+    dealt_docs = whole.withColumn("to", place(F.coalesce("id", F.lit(NULL_ID)), n))
+    state = written(dealt_docs.groupBy("to").cogroup(known.groupBy("to")).applyInArrow(settle, f"kind int, id bigint, {CELLS}, {DONE}{more}"))
     marks = state.where("kind = 2").select("to", "payload").groupBy("to").applyInArrow(compare, CELLS)
-    late = state.where("kind = 1").select("to", "id", "payload", "kept").groupBy("to").cogroup(marks.groupBy("to")).applyInArrow(finish, f"id bigint, {DONE}")
-    done = state.where("kind = 0").select("id", "n_bytes", "n_removed", "n_spans", "kept")
+    late = state.where("kind = 1").select("to", "id", "payload", "kept", *kept_on).groupBy("to").cogroup(marks.groupBy("to")).applyInArrow(finish, f"id bigint, {DONE}{more}")
+    done = state.where("kind = 0").select("id", "n_bytes", "n_removed", "n_spans", "kept", *kept_on)
     return done.unionByName(late).withColumnRenamed("id", id_col)
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = dedup_substrings(table(spark, sf_dir, "documents"), with_text=False)
+    r = dedup_substrings(table(spark, sf_dir, "documents"), keep="digest")
     return r.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256"))

@@ -4,24 +4,11 @@ import random
 import numpy as np
 
 from peakpool.llm import substrings as S
-
-
-def brute(docs, length):
-    """docs: (id, bytes), sorted. -> removed flags of each."""
-    seen, out = set(), []
-    for _, t in docs:
-        gone = bytearray(len(t))
-        for i in range(len(t) - length + 1):
-            w = t[i : i + length]
-            if w in seen:
-                gone[i : i + length] = b"\1" * length
-            seen.add(w)
-        out.append(gone)
-    return out
+from tests_support import repeated_bytes
 
 
 def want(docs, length):
-    for (i, t), gone in zip(docs, brute(docs, length), strict=True):
+    for (i, t), gone in zip(docs, repeated_bytes(docs, length), strict=True):
         kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
         spans = sum(g and not p for g, p in zip(gone, b"\0" + gone[:-1], strict=True))
         yield i, len(t), sum(gone), spans, kept
@@ -114,3 +101,14 @@ def test_query_matches_brute_force(spark):
     docs = sorted((r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{d}/documents.parquet").collect())
     got = sorted(map(tuple, S.op9_substrings(spark, d).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()))
     assert got == [(i, n, r, s, hashlib.sha256(k).hexdigest()) for i, n, r, s, k in want(docs, 100)]
+
+
+def test_cut_characters_and_columns_handed_on(spark):
+    rng = random.Random(3)
+    a = "".join(rng.choice("abcdefgh ") for _ in range(150))
+    df = spark.createDataFrame([(1, "è" + a, {"k": 1}), (2, "é" + a, {"k": 2}), (3, "short", None)], "doc_id long, text string, m map<string,int>")
+    got = {r.doc_id: (bytes(r.kept), r.carry.m) for r in S.dedup_substrings(df, keep="text", carry=["m"]).collect()}
+    assert got == {1: (("è" + a).encode(), {"k": 1}), 2: ("é".encode(), {"k": 2}), 3: (b"short", None)}
+    b = "é" * 100  # a cut at each byte: windows of the second text start within characters
+    got = [bytes(r.kept) for r in S.dedup_substrings(spark.createDataFrame([(1, "x" + b)], "doc_id long, text string"), keep="text").collect()]
+    assert got[0].decode().startswith("x")
