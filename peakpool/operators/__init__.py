@@ -1 +1 @@
-
+"""Operators over site tables."""

@@ -1 +1 @@
-
+"""Whole runs, and the queries by name."""
