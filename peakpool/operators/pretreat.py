@@ -43,14 +43,14 @@ def chi_square(ref: Column, alt: Column) -> Column:
     return F.when(ref + alt > 0, (ref - alt) * (ref - alt) / (ref + alt)).otherwise(F.lit(0.0))
 
 
-@F.pandas_udf("double")
-def _half_normal_tail(z: pd.Series) -> pd.Series:
-    return z.map(lambda v: erfc(v), na_action="ignore")
-
-
 def chi_square_p(ref: Column, alt: Column) -> Column:
     """The p value of chi_square. For output only: the filter compares statistics and so needs no Python."""
-    return _half_normal_tail(F.sqrt(chi_square(ref, alt) / 2))
+
+    @F.pandas_udf("double")
+    def tail(z: pd.Series) -> pd.Series:
+        return z.map(erfc, na_action="ignore")
+
+    return tail(F.sqrt(chi_square(ref, alt) / 2))
 
 
 def chi_square_keep(n: int) -> Column:
