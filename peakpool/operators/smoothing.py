@@ -41,21 +41,23 @@ def local_lines(x: np.ndarray, y: np.ndarray, frac: float, points: np.ndarray |
     q = min(n, max(2, floor(frac * n)))
     left = window_starts(x, q)[points]
     fit, lever = np.empty(len(points)), np.empty(len(points))
-    step = max(1, (1 << 21) // q)
+    step = max(1, (1 << 16) // q)
+    wide_x, wide_y = (np.lib.stride_tricks.sliding_window_view(v, q) for v in (x, y))
+    dot = lambda *v: np.einsum(",".join(["ij"] * len(v)) + "->i", *v)
     for at in range(0, len(points), step):
-        i = points[at : at + step]
-        j = left[at : at + step, None] + np.arange(q)[None, :]
-        xi, xj, yj = x[i][:, None], x[j], y[j]
-        h = np.maximum(xi[:, 0] - xj[:, 0], xj[:, -1] - xi[:, 0])
+        i, own = points[at : at + step], left[at : at + step]
+        xj, yj = wide_x[own], wide_y[own]
+        h = np.maximum(x[i] - xj[:, 0], xj[:, -1] - x[i])
         h = np.where(h <= 0, 1.0, h)
-        r = np.abs(xj - xi)
-        w = np.where(r <= h[:, None], (1 - (r / h[:, None]) ** 3) ** 3, 0.0)
-        w = np.maximum(w, 0)
+        r = np.abs(xj - x[i][:, None]) / h[:, None]
+        w = np.maximum(1 - r * r * r, 0)
+        w = w * w * w
         sw = w.sum(1)
         safe = np.where(sw > 0, sw, 1)
-        xbar, ybar = (w * xj).sum(1) / safe, (w * yj).sum(1) / safe
-        sxx = (w * xj * xj).sum(1) - sw * xbar * xbar
-        sxy = (w * xj * yj).sum(1) - sw * xbar * ybar
+        swx, swy, wx = dot(w, xj), dot(w, yj), w * xj
+        xbar, ybar = swx / safe, swy / safe
+        sxx = dot(wx, xj) - sw * xbar * xbar
+        sxy = dot(wx, yj) - sw * xbar * ybar
         flat = np.abs(sxx) < 1e-300
         slope = sxy / np.where(flat, 1, sxx)
         d = x[i] - xbar
@@ -143,7 +145,8 @@ def auto_spans(raw: DataFrame) -> DataFrame:
         v, p = t.column("raw").to_numpy()[order], t.column("pos").to_numpy()[order] / 1e6
         return pa.table({"method": t.column("method").slice(0, 1), "chrom_idx": t.column("chrom_idx").slice(0, 1), "span": pa.array([best_span(v, p)])})
 
-    return raw.select("method", "chrom_idx", "ord", "pos", "raw").groupBy(*SERIES).applyInArrow(run, "method string, chrom_idx int, span double")
+    tasks = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: few bytes cost many seconds here
+    return raw.select("method", "chrom_idx", "ord", "pos", "raw").repartition(tasks, *SERIES).groupBy(*SERIES).applyInArrow(run, "method string, chrom_idx int, span double")
 
 
 def moving_average(raw: DataFrame, w: float | None) -> DataFrame:

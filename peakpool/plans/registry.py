@@ -135,7 +135,7 @@ def auto_span(spark, d):
 
 
 def auto_peaks(spark, d):
-    s = smoothing.smooth(raw(spark, d, FORMS), "LOWESS", 0.0)
+    s = smoothing.smooth(raw(spark, d, FORMS), "LOWESS", 0.0).cache()  # the search for spans is dear, and its result is read twice
     return shown(peaks.peak_table(s, peaks.thresholds(s), pretreat.chromosomes(pileup(spark, d))))
 
 
