@@ -102,7 +102,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     fine = (
         rate["length"].between(F.col("length_low") - width("length") - 4 * F.col("length_mid") * short, F.col("length_high") + width("length") + 4 * F.col("length_mid") * short)
         & (rate["symbols"] <= F.col("symbols_high") + width("symbols") + 0.2 + 3 * short)
-        & (rate["lines"] <= F.col("lines_high") + width("lines") + 0.3)
+        & (rate["lines"] <= F.col("lines_high") + width("lines") + 0.3 + 1 / F.greatest("n_lines", F.lit(1)))
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return j.select(F.col("id").alias(id_col), *METRICS[:5], failed.alias("base_failed"), (~failed & F.coalesce(fine, F.lit(True))).alias("kept"))
