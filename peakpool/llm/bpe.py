@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import struct
 import unicodedata
 from functools import cache
 
@@ -14,10 +15,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
-from peakpool.llm.common import as_bytes, table
+from peakpool.llm.common import as_bytes, parts, table
 
 #: A worker forgets the pieces that it has encoded when it holds so many; bounds its memory, not its results.
-MAX_PIECES = 400_000
+MAX_PIECES = 300_000
 #: Below this character, letters and numbers are the same in all versions of Unicode in use.
 LATIN_END = "\u0250"
 
@@ -57,7 +58,7 @@ class Bpe:
         self.keys, self.ranks = keys[order], order
         self.made = np.array([self.vocab[a + b] for a, b in pairs], np.int64)
         self.parts = keys
-        self.word_ids: dict[bytes, np.ndarray] = {}
+        self.word_ids: dict[bytes, bytes] = {}
         self.ids: dict[bytes, bytes] = {}
         self.text: dict[bytes, bytes] = {}
 
@@ -148,11 +149,10 @@ class Bpe:
         new = [c for c in chunks if c not in self.ids]
         parts = [self.pieces(c) for c in new]
         words = list({w for p in parts for w in p if isinstance(w, bytes) and w not in self.word_ids})
-        self.word_ids.update(zip(words, self.merge(words), strict=True))
+        self.word_ids.update((w, x.astype("<u4").tobytes()) for w, x in zip(words, self.merge(words), strict=True))
         for c, p in zip(new, parts, strict=True):
-            ids = np.concatenate([self.word_ids[w] if isinstance(w, bytes) else [w] for w in p]).astype(np.int64) if p else np.empty(0, np.int64)
-            self.ids[c] = ids.astype("<u4").tobytes()
-            self.text[c] = " ".join(map(self.tokens.__getitem__, ids.tolist())).encode()
+            self.ids[c] = ids = b"".join(self.word_ids[w] if isinstance(w, bytes) else w.to_bytes(4, "little") for w in p)
+            self.text[c] = " ".join(map(self.tokens.__getitem__, struct.unpack(f"<{len(ids) // 4}I", ids))).encode()
 
     def encode(self, texts: list[bytes | None], step: int = 1 << 22):
         """(ids as little-endian unsigned 32-bit integers, decoded text as UTF-8) of each text. Texts are taken in groups of
@@ -201,7 +201,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         bpe = load(path)
-        for b in batches:
+        for b in parts(batches, 1):
             out = list(zip(*bpe.encode(as_bytes(b.column(1))), strict=True)) or [(), ()]
             cols = {id_col: b.column(0), "n_tokens": pa.array([len(x) // 4 for x in out[0]], pa.int64())}
             if with_ids:

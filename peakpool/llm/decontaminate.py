@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakpool.llm.common import as_bytes, handed, handed_on, table
+from peakpool.llm.common import as_bytes, handed, handed_on, parts, table
 
 #: Bytes that are part of a word: digits, A-Z (lower-cased), a-z and all of non-ASCII characters; others become a space.
 WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -166,7 +166,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     def run(batches):
         a = shared.value
-        for b in batches:
+        for b in parts(batches, 1):
             ids, out = b.column(0), []
             for t in as_bytes(b.column(1)):
                 n, spans, items = a.match(t)

@@ -8,7 +8,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from peakpool.llm.common import table
+from peakpool.llm.common import parts, table
 
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|object|math)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+(?:(?<=/)>|>(?:.*?</(?P=raw)\s*>|.*\Z))"
@@ -199,7 +199,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches, 2):
             out = [main_text(h) for h in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], [id_col, url_col, "text", "n_chars"])
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from peakpool.llm.common import as_bytes, crc_mod, handed, handed_on, table
+from peakpool.llm.common import as_bytes, crc_mod, handed, handed_on, parts, table
 
 #: Families of language codes; a code that isn't listed is a family of its own.
 FAMILIES = {
@@ -129,7 +129,7 @@ def sample(docs: DataFrame, train, id_col: str, text_col: str, lang_col: str, ro
 
 def fit(docs: DataFrame, train, id_col: str, text_col: str, lang_col: str, rows: int = MAX_TRAINING_ROWS) -> Model | None:
     def run(batches):
-        for b in batches:
+        for b in parts(batches, 1):
             keep = [(c, features(t).tobytes()) for c, t in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True) if has_letter(t)]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keep], pa.string()), pa.array([k[1] for k in keep], pa.binary())], ["lang", "x"])
 
@@ -150,7 +150,7 @@ def identify(docs: DataFrame, train=None, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         m = model.value
-        for b in batches:
+        for b in parts(batches, 1):
             texts = as_bytes(b.column(1))
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
             known = [i for i, t in enumerate(texts) if m is not None and has_letter(t)]

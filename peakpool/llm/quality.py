@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from peakpool.llm.common import as_bytes, table, written
+from peakpool.llm.common import as_bytes, parts, table, written
 
 #: Bytes that don't count towards word_chars: the six white space characters, and continuation bytes of UTF-8.
 NO_CHARS = bytes([0x20, *range(0x09, 0x0E), *range(0x80, 0xC0)])
@@ -53,7 +53,7 @@ RATES = {"length": "word_chars / n_words", "symbols": "n_symbols / n_words", "li
 
 def measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in parts(batches, 3):
             out = np.array([measure(t) for t in as_bytes(b.column(3))], np.int64).reshape(-1, 6)
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(out[:, i]) for i in range(6))], ["id", "lang", "source", *METRICS])
 

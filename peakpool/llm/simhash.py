@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakpool.llm.common import as_bytes, table, written
+from peakpool.llm.common import as_bytes, parts, table, written
 from peakpool.llm.components import components
 
 #: The vantage point of every level: a fixed, balanced bit pattern.
@@ -37,7 +37,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp long) for every row of docs, one pass and no shuffle."""
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches, 1):
             fp = np.array([fingerprint(t, shingle) for t in as_bytes(b.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], [id_col, "fp"])
 

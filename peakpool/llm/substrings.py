@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakpool.llm.common import CELLS, as_bytes, cells, dealt, handed, handed_on, joined, mix64, pack, part_count, table, unpack, written
+from peakpool.llm.common import CELLS, as_bytes, cells, dealt, handed, handed_on, joined, mix64, pack, part_count, parts, table, trim, unpack, written
 
 #: Bytes of the grams whose hashes choose a window's anchor.
 GRAM = 32
@@ -289,7 +289,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return doc, np.fromiter((xxhash.xxh64_intdigest(t) >> 1 for t in texts), np.int64, len(texts)) if twice else np.zeros(len(texts), np.int64)
 
     def scan(batches):
-        for b in batches:
+        for b in parts(batches, 1, 1 << 23):
             texts = [t or b"" for t in as_bytes(b.column(1))]
             doc, th = identity(b.column(0), texts)
             for first, group in text_groups(texts, 1 << 23):
@@ -300,6 +300,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     yield cells(rows).to_batches()[0]
 
     def classify(t: pa.Table) -> pa.Table:
+        trim()
         doc, th, pos, key, ctx, back, fore = joined(t.column("payload").to_pylist())
         order, new_key, new_ctx = classes(doc, th, pos, key, ctx)
         k = np.cumsum(new_key) - 1
@@ -321,6 +322,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def settle(left: pa.Table, right: pa.Table) -> pa.Table:
         """Documents of a bucket with what is known of their anchors: settled rows, rows that wait, contexts to compare."""
+        trim()
         out = {c: [] for c in ("kind", "id", "to", "payload", "n_bytes", "n_removed", "n_spans", "kept")}
 
         of: list[int | None] = []  # the row of left that each row is about
@@ -364,8 +366,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             g = np.array([s[0] for s in sent], np.uint64)
             cols = [np.array([s[k] for s in sent], np.int64) for k in (1, 2, 3)]
             raw = np.array([s[4] for s in sent], object)
-            for to, x, *rest, parts in dealt((mix64(g) % np.uint64(n)).astype(np.int32), g, *cols, raw):
-                put(kind=2, to=to, payload=pack(x, *rest, np.array([len(s) for s in parts], np.int64), np.frombuffer(b"".join(parts), np.uint8)))
+            for to, x, *rest, pieces in dealt((mix64(g) % np.uint64(n)).astype(np.int32), g, *cols, raw):
+                put(kind=2, to=to, payload=pack(x, *rest, np.array([len(s) for s in pieces], np.int64), np.frombuffer(b"".join(pieces), np.uint8)))
         waits = {s[1:3] for s in sent}
         for i, t in enumerate(texts):
             name = (int(docs_[i]), int(ths[i]))
@@ -383,11 +385,13 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return pa.table({c: pa.array(x, kinds[c]) for c, x in out.items()} | rest)
 
     def compare(t: pa.Table) -> pa.Table:
+        trim()
         group, doc, th, start, size, text = joined(t.column("payload").to_pylist())
         doc, th, lo, hi = resolve(group, doc, th, start, size, text.tobytes(), length, transform)
         return cells([(to, pack(*x)) for to, *x in dealt(spread(doc, n), doc, th, lo, hi)])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        trim()
         texts = left.column("kept").to_pylist()
         docs_, ths = identity(left.column("id").combine_chunks(), texts)
         doc, th, lo, hi = joined(right.column("payload").to_pylist()) if len(right) else [np.empty(0, np.int64)] * 4

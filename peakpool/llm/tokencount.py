@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from peakpool.llm.common import as_bytes, shared_dir, table, written
+from peakpool.llm.common import as_bytes, parts, shared_dir, table, written
 
 #: Tokens are 16-bit; byte_bpe_50k leaves this identifier free.
 END = 50256
@@ -53,7 +53,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
         code = encoder(vocabulary)
         task = TaskContext.get()
         name, out, size, ordinal, number = "", None, 0, 0, 0
-        for b in batches:
+        for b in parts(batches, 1):
             names, places = [], []
             for t in as_bytes(b.column(1)):
                 if out is None or size >= file_bytes:
