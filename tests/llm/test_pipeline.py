@@ -23,7 +23,7 @@ def brute(rows, items):
 
     for i in range(len(rows)):
         for j in range(i):
-            if (fp[i] ^ fp[j]).bit_count() <= 3:
+            if (fp[i] ^ fp[j]).bit_count() <= P.RADIUS:
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     rows = [r for i, r in enumerate(rows) if find(i) == i]

@@ -67,6 +67,8 @@ def test_shards_find_all_links(spark):
     df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fp], "fp long")
     want = roots(len(fp), [(i, j) for i in range(len(fp)) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= 3])
     at = {x - (1 << 64) if x >> 63 else x: i for i, x in enumerate(fp)}
+    far = S.links(df, radius=6).collect()
+    assert roots(len(fp), [(at[e.u], at[e.v]) for e in far]) == roots(len(fp), [(i, j) for i in range(len(fp)) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= 6])
     for points in (100_000, 60, 5):  # two levels, then more
         edges = S.links(df, cell_points=points).collect()
         assert roots(len(fp), [(at[e.u], at[e.v]) for e in edges]) == want
