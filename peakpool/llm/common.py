@@ -99,13 +99,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def pack(*arrays) -> bytes:
-    """Arrays as one compressed value, to be moved as a single cell."""
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
-
-
-def unpack(cell: bytes):
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(cell))
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
+    """Arrays as one compressed value, to be moved as a single cell. Each array's first bytes stand together, then its second
+    ones and so on, as numbers' high bytes are alike."""
+    planes = [(a.dtype.str, np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes()) for a in arrays]
+    return zstandard.ZstdCompressor(level=level).compress(pickle.dumps(planes, protocol=5))
+
+
+def unpack(cell: bytes) -> list[np.ndarray]:
+    planes = pickle.loads(zstandard.ZstdDecompressor().decompress(cell))
+    out = []
+    for kind, data in planes:
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).reshape(-1))
+    return out
 
 
 def dealt(to: np.ndarray, *arrays: np.ndarray):

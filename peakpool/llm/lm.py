@@ -11,12 +11,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakpool.llm.common import as_bytes, crc_mod, dealt, joined, mix64, pack, part_count, table, unpack, written
+from peakpool.llm.common import as_bytes, crc_mod, dealt, mix64, pack, part_count, parts, table, trim, unpack, written
 
 #: The end of a text as a token; no word has a line feed.
 END = b"\n"
 #: Bytes of text in one block of documents.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 10 << 20
 REPLY = "block bigint, level int, bucket int, payload binary, n bigint, v bigint"
 
 
@@ -127,9 +127,15 @@ class Block:
         n = np.bincount(k["back"], weights=self.train[k["places"]], minlength=len(k["own"])).astype(np.uint32)
         one = np.zeros(len(k["own"]), np.int64)
         one[k["back"]] = k["places"]
-        below = (-np.log10(k["below"][one])).astype(np.float32)
+        if level == 1:  # the base's probability, by the word's count
+            below = self.word_count[self.ids[one]].astype(np.uint32)
+        else:
+            below = -np.log10(k["below"][one]).astype(np.float32)
+        below[n == 0] = 0  # only training pairs are weighed
         for bucket, at in dealt(k["bucket"][k["sent"]], k["sent"]):
-            yield bucket, pack(np.full(len(at), self.number, np.int64), k["name"][k["own"][at]], k["pair"][at], n[at], below[at], k["size"][at].astype(np.int64), k["hot"][at])
+            run = np.flatnonzero(np.concatenate([[True], np.diff(k["own"][at]) != 0]))  # a context's pairs stand together
+            own = k["own"][at[run]]
+            yield bucket, pack(np.array([self.number]), np.diff(np.append(run, len(at))).astype(np.uint32), k["name"][own], k["size"][at[run]].astype(np.uint32 if k["size"].max() < 1 << 32 else np.int64), k["pair"][at], n[at], below[at], k["hot"][at])
 
     def score(self):
         """(tokens known, base score, score) of each document."""
@@ -149,7 +155,11 @@ class Block:
 
 def tally(t: pa.Table, level: int, model: dict) -> pa.Table:
     """Totals of the keys in a bucket, sent back to each block in its own order; contexts are judged where they are whole."""
-    block, *cols = joined(t.column("payload").to_pylist())
+    trim()
+    cells = list(map(unpack, t.column("payload").to_pylist()))
+    if level:
+        cells = [[np.repeat(number, len(pair)), np.repeat(name, length), pair, n, below, np.repeat(size.astype(np.int64), length), hot] for number, length, name, size, pair, n, below, hot in cells]
+    block, *cols = [np.concatenate(x) for x in zip(*cells, strict=True)]
     bucket = t.column("to")[0].as_py()
     rows = []
     if level == 0:
@@ -164,7 +174,9 @@ def tally(t: pa.Table, level: int, model: dict) -> pa.Table:
         total = np.bincount(back, weights=c, minlength=len(u))
         mu, own = model["smoothing"], context[one]
         seen = total > 0
-        p = 10.0 ** -below[one].astype(np.float64)
+        highest = np.zeros(len(u))
+        np.maximum.at(highest, back, below)
+        p = (highest + 1) / (model["n"] + (model["v"] + 1)) if level == 1 else 10.0**-highest
         gain = np.zeros(len(u))
         # what the context says of each of its occurrences when that one is left out, against the context that is shorter by one
         gain[seen] = total[seen] * np.log(((total[seen] - 1) / p[seen] + mu) / (size[one][seen] - 1 + mu))
@@ -191,10 +203,10 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, train, block_bytes: int)
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
             null = np.array([i is None for i in ids])
             name = TaskContext.get().partitionId() << 32 | next(number)
-            state = pack(np.array([i or 0 for i in ids], np.int64), null, np.array(held, bool), sizes, tokens, hashes)
+            state = pack(np.array([i or 0 for i in ids], np.int64), null, np.array(held, bool), sizes, tokens, hashes, level=3)
             return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([state], pa.binary())], ["block", "payload"])
 
-        for b in batches:
+        for b in parts(batches, 2):
             for i, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), strict=True):
                 ids.append(i)
                 held.append(h)
@@ -248,6 +260,7 @@ def pst_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "
 
     def with_replies(replies: DataFrame, f, names, kinds, schema: str, m: dict) -> DataFrame:
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            trim()
             got: dict[int, dict[int, tuple]] = {}
             for level, bucket, payload in zip(*(right.column(c).to_pylist() for c in ("level", "bucket", "payload")), strict=True):
                 got.setdefault(level, {})[bucket] = unpack(payload)
