@@ -77,12 +77,22 @@ def quantiles(sketch: DataFrame, at: dict[str, float]) -> DataFrame:
     return run.groupBy("lang", "source", "metric").agg(*[F.min(F.when(F.col("below") >= F.col("total") * F.lit(q), middle)).alias(name) for name, q in at.items()])
 
 
+def with_limits(m: DataFrame, limits: DataFrame) -> DataFrame:
+    """m with the columns that limits holds for each language and source."""
+    if limits.count() <= BROADCAST_GROUPS:
+        limits = F.broadcast(limits)
+    limits = limits.withColumnsRenamed({"lang": "lang_", "source": "source_"})
+    return m.join(limits, F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_")), "left").drop("lang_", "source_")
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", fence: float = 3.0) -> DataFrame:
     """One row per row of docs: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
     base_failed: fewer than 10 words, or over a fifth of them in repeated windows. Of the others, kept is false if the text's
     mean word length, symbols per word or share of repeated lines lies beyond its language's and source's middle half by
-    over `fence` times its width and a margin for short texts. Quantiles are of all texts with words; nulls in lang or source
+    over `fence` times its width and `fence` sampling errors. A rate's sampling error is that of a count at the upper quartile's
+    level, of one occurrence at least; a mean word length's is the upper quartile of its group's |length - median| sqrt(n_words),
+    over sqrt(n_words). Quantiles are of all texts with words; nulls in lang or source
     are a group of their own; null and empty texts have no words and fail; repeated rows are judged alike; an empty table gives
     no rows. Other columns are not read. Counts are written once; sketches are aggregated before any shuffle, so that a hot
     source costs its bins only.
@@ -92,17 +102,17 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     q = quantiles(sketches(stacked), {"low": 0.25, "mid": 0.5, "high": 0.75})
     limits = q.groupBy("lang", "source").pivot("metric", list(RATES)).agg(F.first("low").alias("low"), F.first("mid").alias("mid"), F.first("high").alias("high"))
     limits = written(limits)
-    if limits.count() <= BROADCAST_GROUPS:
-        limits = F.broadcast(limits)
-    limits = limits.withColumnsRenamed({"lang": "lang_", "source": "source_"})
-    j = m.join(limits, F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_")), "left")
-    short = 1 / F.sqrt(F.greatest("n_words", F.lit(1)))
-    width = lambda k: F.lit(fence) * (F.col(f"{k}_high") - F.col(f"{k}_low"))
+    n_words, n_lines = (F.greatest(n, F.lit(1)) for n in ("n_words", "n_lines"))
     rate = {k: F.expr(e.replace(" / ", " / nullif(") + ", 0)") for k, e in RATES.items()}
+    spread = with_limits(m.where("n_words > 0"), limits).select("lang", "source", F.lit("spread").alias("metric"), (F.abs(rate["length"] - F.col("length_mid")) * F.sqrt(n_words)).alias("value"))
+    j = with_limits(with_limits(m, limits), written(quantiles(sketches(spread), {"spread": 0.75}).drop("metric")))
+    fences = lambda k: F.lit(fence) * (F.col(f"{k}_high") - F.col(f"{k}_low"))
+    error = lambda k, n: F.lit(fence) * F.sqrt(F.greatest(F.col(f"{k}_high"), 1 / n) / n)
+    sampled = F.lit(fence) * F.col("spread") / F.sqrt(n_words)
     fine = (
-        rate["length"].between(F.col("length_low") - width("length") - 4 * F.col("length_mid") * short, F.col("length_high") + width("length") + 4 * F.col("length_mid") * short)
-        & (rate["symbols"] <= F.col("symbols_high") + width("symbols") + 0.2 + 3 * short)
-        & (rate["lines"] <= F.col("lines_high") + width("lines") + 0.3 + 1 / F.greatest("n_lines", F.lit(1)))
+        rate["length"].between(F.col("length_low") - fences("length") - sampled, F.col("length_high") + fences("length") + sampled)
+        & (rate["symbols"] <= F.col("symbols_high") + fences("symbols") + error("symbols", n_words))
+        & (rate["lines"] <= F.col("lines_high") + fences("lines") + error("lines", n_lines))
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return j.select(F.col("id").alias(id_col), *METRICS[:5], failed.alias("base_failed"), (~failed & F.coalesce(fine, F.lit(True))).alias("kept"))

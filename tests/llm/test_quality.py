@@ -61,3 +61,23 @@ def test_outliers_go_and_odd_rows_are_defined(spark):
     kept = {r.doc_id: r.kept for r in got}
     assert not kept[100] and not kept[101] and not kept[102] and kept[103] and all(kept[i] for i in range(50))
     assert Q.judge(df.limit(0)).count() == 0
+
+
+def test_short_junk_goes_and_clean_short_texts_stay(spark):
+    """A constant margin of 0.2 + 3 / sqrt(n_words) kept texts with a '|' after every other word up to 100 words."""
+    rng = random.Random(11)
+    words = lambda n: [rng.choice(["word", "other", "thing", "some", "longer"]) + str(rng.randrange(17)) for _ in range(n)]
+    clean = [(i, " ".join(words(rng.randint(12, 400))), "en", "s") for i in range(200)]
+    junk = [(1000 + n, " ".join(f"{w}|" if k % 2 else w for k, w in enumerate(words(n))), "en", "s") for n in range(20, 151, 10)]
+    kept = {r.doc_id: r.kept for r in Q.judge(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(kept[i] for i, *_ in clean) and not any(kept[i] for i, *_ in junk)
+
+
+def test_repeated_lines_of_a_clean_group_are_rejected(spark):
+    """The margin of 0.3 + 1 / n_lines let a third of a text's lines be repeats where its group has none."""
+    lines = lambda d, n: [f"line {d} x{i} of text {d * 31 + i} here a{i} b{d}" for i in range(n)]
+    clean = [(d, "\n".join(lines(d, 20)), "en", "s") for d in range(40)]
+    odd = [(100, "\n".join(x + "\nsee above" * (i % 3 == 0) for i, x in enumerate(lines(99, 30))), "en", "s")]
+    rows = spark.createDataFrame(clean + odd, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in Q.judge(rows).collect()}
+    assert all(got[i].kept for i in range(40)) and not got[100].kept and not got[100].base_failed and got[100].n_dup_lines == 9
