@@ -183,9 +183,15 @@ def tally(t: pa.Table, level: int, model: dict) -> pa.Table:
         ctx, of = np.unique(own, return_inverse=True)
         total_gain = np.bincount(of, weights=gain, minlength=len(ctx))
         kept = (total_gain >= model["min_gain"])[of] & ~hot[one]
+        # a context with one next token alone can't have longer states once all it may still gain is too little: their shorter
+        # contexts' probabilities are at least its own
+        lone = np.bincount(of, weights=seen, minlength=len(ctx)) <= 1
+        most = np.zeros(len(ctx))
+        np.maximum.at(most, of[seen], -size[one][seen] * np.log((total[seen] + mu * p[seen]) / (size[one][seen] + mu)))
+        open_ = (~lone | (most >= model["min_gain"]))[of] | hot[one]
         for i in np.flatnonzero(np.bincount(of, weights=hot[one], minlength=len(ctx)) > 0).tolist():
             rows.append((int(ctx[i].view(np.int64)), -level, bucket, pack(np.array([total_gain[i]])), None, None))
-        rows += [(b, level, bucket, pack(x, y), None, None) for b, x, y in dealt(block, total[back].astype(np.uint32), kept[back])]
+        rows += [(b, level, bucket, pack(x, y), int(z.sum()), None) for b, x, y, z in dealt(block, total[back].astype(np.uint32), kept[back], open_[back])]
     names = ["block", "level", "bucket", "payload", "n", "v"]
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
     return pa.table({n: pa.array([r[i] for r in rows], kinds[i]) for i, n in enumerate(names)})
@@ -221,7 +227,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, train, block_bytes: int)
     return docs.select(F.col(id_col).cast("bigint"), ~F.coalesce(train, F.lit(False)), text_col).mapInArrow(run, "block bigint, payload binary")
 
 
-def pst_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", depth: int = 2, min_count: int = 8, smoothing: float = 4.0, min_gain: float = 3.0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def pst_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", depth: int | None = 2, min_count: int = 8, smoothing: float = 4.0, min_gain: float = 3.0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10).
 
     train: a boolean column over docs; null counts as held out. Tokens: words between ASCII white space, A-Z lower-cased, and
@@ -231,7 +237,7 @@ def pst_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "
     state if, each occurrence left out in turn, its own next-token counts say at least min_gain nats more of what follows it
     than the context that is shorter by one word. Each token is scored by the longest suffix that is a state; a state's
     distribution is its counts plus `smoothing` times the next shorter context's distribution, down to the base's, so that all
-    sum to one. Counts are of all training texts.
+    sum to one. Without a depth contexts grow by a word at a time until no longer one can be a state. Counts are of all training texts.
 
     Ids are integers; null and empty texts have an end only; a null id keeps its row; repeated rows are counted and scored as
     often as they occur; without training texts N and V are 0; an empty table gives no rows. Other columns are not read.
@@ -278,7 +284,7 @@ def pst_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "
         return lambda t: tally(t, level, m)
 
     replies = None
-    for level in range(depth + 1):
+    for level in count():
         m = dict(model)
         told = written(asked(level, replies, m).groupBy("to").applyInArrow(teller(level, m), REPLY))
         if level == 0:
@@ -292,6 +298,9 @@ def pst_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "
             kept = np.array([k for k, g in hot.items() if g >= min_gain], np.int64).view(np.uint64)
             model["kept_hot"] = np.concatenate([model["kept_hot"], kept])
         replies = told if replies is None else replies.unionByName(told)
+        model["depth"] = level
+        if level == depth or depth is None and level and not told.where("block is not null and n > 0").where(f"level = {level}").limit(1).count():
+            break
 
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
@@ -304,4 +313,4 @@ def pst_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "
 
 
 def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pst_scores(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) != 2)
+    return pst_scores(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) != 2, depth=None)

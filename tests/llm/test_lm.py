@@ -96,3 +96,14 @@ def test_odd_rows(spark):
     none = L.pst_scores(df, L.F.lit(False)).collect()
     assert {(r.train_tokens, r.n_known, r.score) for r in none} == {(0, 0, 0.0)}
     assert L.pst_scores(df.limit(0), L.F.lit(True)).count() == 0
+
+
+def test_contexts_grow_until_none_is_a_state(spark, monkeypatch):
+    """The fourth word after three turns on the first of them, which a depth of two words can't tell."""
+    monkeypatch.setattr(L, "part_count", lambda df: 3)
+    rng = random.Random(4)
+    rows = [(i, " ".join(w for _ in range(12) for w in (lambda a: (a, "of", "the", a.upper() + "z"))(rng.choice("abcd")))) for i in range(60)]
+    got = {r.doc_id: r for r in L.pst_scores(spark.createDataFrame(rows, "doc_id long, text string"), L.F.col("doc_id") % 5 != 2, depth=None, block_bytes=2000).collect()}
+    whole, cut = (list(brute([(i % 5 != 2, t) for i, t in rows], d, 8, 4.0, 3.0)) for d in (7, 2))
+    for (i, _), (*_, score), (*_, short) in zip(rows, whole, cut, strict=True):
+        assert abs(got[i].score - score) < 1e-6 * abs(score) and got[i].score > short + 1
