@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import pickle
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -30,7 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
         known = sc._jsc.sc().getCheckpointDir()
         base = known.get() if known.isDefined() else None
     if not base:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="peakpool-")
+        atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
         sc.setCheckpointDir(base)
     return base.rstrip("/")
 
@@ -45,7 +51,15 @@ def written(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.peakpool_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that written() made, once nothing reads them any more."""
+    hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.peakpool_path)
+    hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def input_bytes(df: DataFrame) -> int:

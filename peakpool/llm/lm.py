@@ -11,13 +11,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakpool.llm.common import as_bytes, crc_mod, dealt, mix64, pack, part_count, parts, table, trim, unpack, written
+from peakpool.llm.common import as_bytes, crc_mod, dealt, discard, mix64, pack, part_count, parts, table, trim, unpack, written
 
 #: The end of a text as a token; no word has a line feed.
 END = b"\n"
 #: Bytes of text in one block of documents.
 BLOCK_BYTES = 10 << 20
-REPLY = "block bigint, level int, bucket int, payload binary, n bigint, v bigint"
+#: The first level whose positions are written; up to there they are worked out again from the tokens, which takes less room.
+CARRIED = 3
+REPLY = "block bigint, level int, bucket int, payload binary, n bigint, v bigint, gain double"
 
 
 def tokenise(texts: list[bytes | None]):
@@ -44,156 +46,166 @@ class _Numbered(dict):
         return n
 
 
-class Block:
-    """The tokens of some documents and what is known of their contexts so far.
-
-    state: document ids, null flags, which are held out, tokens of each document, token numbers, hashes of the numbered words.
-    replies: level -> bucket -> counts of the keys that this block has sent to that bucket, in the order sent."""
-
-    def __init__(self, state: bytes, replies: dict[int, dict[int, tuple]], model: dict):
-        self.doc, self.null, self.held, self.sizes, self.ids, self.words = unpack(state)
-        self.replies, self.m = replies, model
-        self.ids = self.ids.astype(np.int64)
-        self.train = np.repeat(~self.held, self.sizes)
-        self.place = np.arange(len(self.ids)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-
-    def word_keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """Words in the order sent (by bucket) and their buckets."""
-        to = (mix64(self.words) % np.uint64(self.m["buckets"])).astype(np.int32)
-        return np.argsort(to, kind="stable"), to
-
-    def answered(self, level: int, order: np.ndarray, to: np.ndarray, column: int) -> np.ndarray:
-        """A column of a level's replies, at the keys' own places."""
-        out = None
-        for bucket, at in dealt(to[order], order):
-            x = self.replies[level][bucket][column]
-            if out is None:
-                out = np.zeros(len(to), x.dtype)
-            out[at] = x
-        return out if out is not None else np.zeros(len(to), np.int64)
-
-    def levels(self, upto: int, ask: bool = True):
-        """For each level that has been answered below `upto`, and then, if it is to be asked, `upto` itself: what its keys are.
-
-        Yields (level, dict): places (positions with a candidate context), key (their distinct pair), context (of each pair),
-        and hashes, buckets, counts, the contexts' counts and the probabilities one level up."""
-        order, to = self.word_keys()
-        words = self.answered(0, order, to, 0).astype(np.float64)
-        m = self.m
-        self.word_count = words
-        self.base = (words[self.ids] + 1) / (m["n"] + (m["v"] + 1))
-        below = self.base.copy()
-        context, size, name = np.full(len(self.ids), -1), None, None
-        inside = self.place >= 1
-        context[inside] = self.ids[np.flatnonzero(inside) - 1]
-        size, name = words, self.words
-        for level in range(1, upto + ask):
-            places = np.flatnonzero(context >= 0)
-            places = places[size[context[places]] >= m["min_count"]]
-            code = context[places] << 32 | self.ids[places]
-            keys, back = np.unique(code, return_inverse=True)
-            own, word = keys >> 32, keys & 0xFFFFFFFF
-            pair = mix64(name[own] * np.uint64(0x9E3779B97F4A7C15) + mix64(self.words[word] + np.uint64(level)))
-            hot = size[own] > m["hot"]
-            bucket = (np.where(hot, mix64(pair), mix64(name[own])) % np.uint64(m["buckets"])).astype(np.int32)
-            sent = np.lexsort((keys, bucket))
-            at = {"places": places, "back": back, "own": own, "pair": pair, "hot": hot, "bucket": bucket, "sent": sent, "size": size[own], "name": name, "below": below}
-            if level == upto:
-                yield level, at
-                return
-            at["count"] = counts = self.answered(level, sent, bucket, 0).astype(np.float64)
-            at["kept"] = self.answered(level, sent, bucket, 1).astype(bool) if len(keys) else np.zeros(0, bool)
-            yield level, at
-            mu = m["smoothing"]
-            better = below.copy()
-            better[places] = (counts[back] + mu * below[places]) / (at["size"][back] + mu)
-            below = better
-            longer = np.full(len(self.ids), -1)
-            own_pair = np.full(len(self.ids), -1)
-            own_pair[places] = back
-            deep = np.flatnonzero(self.place >= level + 1)
-            longer[deep] = own_pair[deep - 1]
-            context, size, name = longer, counts, pair
-
-    def ask(self, level: int):
-        """(bucket, keys of this level, packed) for each bucket."""
-        if level == 0:
-            order, to = self.word_keys()
-            c = np.bincount(self.ids[self.train], minlength=len(self.words))
-            for bucket, at in dealt(to[order], order):
-                yield bucket, pack(np.full(len(at), self.number, np.int64), self.words[at], c[at].astype(np.uint32))
-            return
-        *_, (_, k) = self.levels(level)
-        n = np.bincount(k["back"], weights=self.train[k["places"]], minlength=len(k["own"])).astype(np.uint32)
-        one = np.zeros(len(k["own"]), np.int64)
-        one[k["back"]] = k["places"]
-        if level == 1:  # the base's probability, by the word's count
-            below = self.word_count[self.ids[one]].astype(np.uint32)
-        else:
-            below = -np.log10(k["below"][one]).astype(np.float32)
-        below[n == 0] = 0  # only training pairs are weighed
-        for bucket, at in dealt(k["bucket"][k["sent"]], k["sent"]):
-            run = np.flatnonzero(np.concatenate([[True], np.diff(k["own"][at]) != 0]))  # a context's pairs stand together
-            own = k["own"][at[run]]
-            yield bucket, pack(np.array([self.number]), np.diff(np.append(run, len(at))).astype(np.uint32), k["name"][own], k["size"][at[run]].astype(np.uint32 if k["size"].max() < 1 << 32 else np.int64), k["pair"][at], n[at], below[at], k["hot"][at])
-
-    def score(self):
-        """(tokens known, base score, score) of each document."""
-        depth = self.m["depth"]
-        final = None
-        for _, k in self.levels(depth + 1, ask=False):
-            if final is None:
-                final, mu = self.base.copy(), self.m["smoothing"]
-            kept = k["kept"] | np.isin(k["name"][k["own"]], self.m["kept_hot"]) & k["hot"]
-            use = kept[k["back"]]
-            p = (k["count"][k["back"]] + mu * k["below"][k["places"]]) / (k["size"][k["back"]] + mu)
-            final[k["places"][use]] = p[use]
-        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        total = lambda x: np.bincount(owner, weights=x, minlength=len(self.sizes))
-        return total(self.word_count[self.ids] > 0).astype(np.int64), total(np.log10(self.base)), total(np.log10(self.base if final is None else final))
+def replied(replies: dict[int, tuple], order: np.ndarray, to: np.ndarray, column: int, kind) -> np.ndarray:
+    """A column of the buckets' replies, at the keys' own places. order: the keys as they were sent; to: each key's bucket."""
+    out = np.zeros(len(to), kind)
+    for bucket, at in dealt(to[order], order):
+        out[at] = replies[bucket][column]
+    return out
+
+
+def words_sent(words: np.ndarray, m: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Words in the order sent (by bucket) and their buckets."""
+    to = (mix64(words) % np.uint64(m["buckets"])).astype(np.int32)
+    return np.argsort(to, kind="stable"), to
+
+
+def ask_words(state: bytes, number: int, m: dict):
+    """(bucket, words and their training counts, packed) for each bucket."""
+    _, _, held, sizes, ids, words = unpack(state)
+    order, to = words_sent(words, m)
+    c = np.bincount(ids[np.repeat(~held, sizes)], minlength=len(words))
+    for bucket, at in dealt(to[order], order):
+        yield bucket, pack(np.full(len(at), number, np.int64), words[at], c[at].astype(np.uint32))
+
+
+class Front:
+    """The positions of a block's tokens that have a context of `level` words which may be a state.
+
+    docs: of each document the id, null flag, held-out flag, tokens, tokens known, base score, and the score of the tokens that
+    no longer context can change. at, owner, tok, ctx, below, final: of each position its place in the block, document, word,
+    context, and the probabilities by the next shorter context and by the longest state so far. words, names, sizes: the words'
+    hashes, the contexts' hashes and training counts."""
+
+    def __init__(self, level: int, docs: list[np.ndarray], rows: list[np.ndarray], tables: list[np.ndarray], model: dict):
+        self.level, self.docs, self.m = level, docs, model
+        self.at, self.owner, self.tok, self.ctx, self.below, self.final = rows
+        self.words, self.names, self.sizes = tables
+
+    @staticmethod
+    def first(state: bytes, replies: dict[int, tuple], m: dict) -> Front:
+        """Level 1, from a block's tokens and its words' counts."""
+        doc, null, held, sizes, ids, words = unpack(state)
+        order, to = words_sent(words, m)
+        seen = replied(replies, order, to, 0, np.int64)
+        base = (seen + 1) / (m["n"] + (m["v"] + 1))
+        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        p = base[ids]
+        total = lambda x: np.bincount(owner, weights=x, minlength=len(sizes))
+        docs = [doc, null, held, sizes, total(seen[ids] > 0).astype(np.int64), total(np.log10(p)), np.zeros(len(sizes))]
+        inside = np.ones(len(ids), bool)
+        inside[(np.cumsum(sizes) - sizes)[sizes > 0]] = False
+        use = np.flatnonzero(inside)
+        use = use[seen[ids[use - 1]] >= m["min_count"]]
+        gone = np.ones(len(ids), bool)
+        gone[use] = False
+        docs[6] += np.bincount(owner[gone], weights=np.log10(p[gone]), minlength=len(sizes))
+        return Front(1, docs, [use, owner[use], ids[use], ids[use - 1], p[use], p[use]], [words, words, seen], m)
+
+    @staticmethod
+    def load(level: int, payload: bytes, m: dict) -> Front:
+        x = unpack(payload)
+        at, owner = np.cumsum(x[7].astype(np.int64)), np.cumsum(x[8].astype(np.int64)).astype(np.int32)
+        return Front(level, x[:7], [at, owner, x[9], x[10], x[11].astype(np.float64), x[12].astype(np.float64)], x[13:], m)
+
+    def dump(self) -> bytes:
+        some = lambda x: np.unique(x, return_inverse=True)
+        (used, tok), (held, ctx) = some(self.tok), some(self.ctx)
+        step = lambda x: np.diff(x, prepend=0).astype(np.uint32)
+        size = self.sizes[held]
+        rows = [step(self.at), step(self.owner), tok.astype(np.int32), ctx.astype(np.int32), self.below.astype(np.float32), self.final.astype(np.float32)]
+        return pack(*self.docs, *rows, self.words[used], self.names[held], size.astype(np.uint32) if size.max(initial=0) < 1 << 32 else size)
+
+    def pairs(self) -> None:
+        """The distinct (context, word) pairs of the positions, their hashes, buckets and the order in which they are sent."""
+        keys, self.back = np.unique(self.ctx.astype(np.int64) << 32 | self.tok.astype(np.int64), return_inverse=True)
+        self.own, self.word = keys >> 32, keys & 0xFFFFFFFF
+        name = self.names[self.own]
+        self.pair = mix64(name * np.uint64(0x9E3779B97F4A7C15) + mix64(self.words[self.word] + np.uint64(self.level)))
+        self.size = self.sizes[self.own].astype(np.int64)
+        self.hot = self.size > self.m["hot"]
+        self.bucket = (np.where(self.hot, mix64(self.pair), mix64(name)) % np.uint64(self.m["buckets"])).astype(np.int32)
+        self.sent = np.lexsort((keys, self.bucket))
+
+    def ask(self, number: int):
+        """(bucket, pairs with their training counts, packed) for each bucket. A context's pairs stand together; 48 bits of the
+        word's hash tell them apart within it."""
+        self.pairs()
+        train = ~self.docs[2][self.owner]
+        n = np.bincount(self.back, weights=train, minlength=len(self.own)).astype(np.uint32)
+        below = np.zeros(len(self.own), np.float32)
+        below[self.back[train]] = -np.log10(self.below[train])  # only training pairs are weighed; equal for all of a pair
+        word = self.words[self.word]
+        low, high = (word & np.uint64(0xFFFFFFFF)).astype(np.uint32), ((word >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16)
+        wide = np.int64 if self.size.max(initial=0) >= 1 << 32 else np.uint32
+        for bucket, at in dealt(self.bucket[self.sent], self.sent):
+            run = np.flatnonzero(np.concatenate([[True], np.diff(self.own[at]) != 0]))
+            length = np.diff(np.append(run, len(at))).astype(np.uint32)
+            yield bucket, pack(np.array([number]), length, self.names[self.own[at[run]]], self.size[at[run]].astype(wide), low[at], high[at], n[at], below[at], self.hot[at])
+
+    def answer(self, replies: dict[int, tuple]) -> None:
+        """Takes the pairs' total counts and their contexts' verdicts."""
+        self.pairs()
+        mu = self.m["smoothing"]
+        self.count = replied(replies, self.sent, self.bucket, 0, np.int64)
+        kept = replied(replies, self.sent, self.bucket, 1, bool) | self.hot & np.isin(self.names[self.own], self.m["kept_hot"])
+        self.open = replied(replies, self.sent, self.bucket, 2, bool)
+        self.below = (self.count[self.back] + mu * self.below) / (self.size[self.back] + mu)
+        self.final = np.where(kept[self.back], self.below, self.final)
+
+    def longer(self) -> Front:
+        """The positions of the next level, after answer(): a token's longer context is the pair at the place before it."""
+        before = np.flatnonzero((np.diff(self.at) == 1) & (np.diff(self.owner) == 0))
+        of = self.back[before]
+        good = (self.count[of] >= self.m["min_count"]) & self.open[of]
+        next_, of = before[good] + 1, of[good]
+        gone = np.ones(len(self.at), bool)
+        gone[next_] = False
+        docs = [*self.docs[:6], self.docs[6] + np.bincount(self.owner[gone], weights=np.log10(self.final[gone]), minlength=len(self.docs[0]))]
+        return Front(self.level + 1, docs, [self.at[next_], self.owner[next_], self.tok[next_], of, self.below[next_], self.final[next_]], [self.words, self.pair, self.count], self.m)
+
+    def scores(self) -> np.ndarray:
+        return self.docs[6] + np.bincount(self.owner, weights=np.log10(self.final), minlength=len(self.docs[0]))
 
 
 def tally(t: pa.Table, level: int, model: dict) -> pa.Table:
     """Totals of the keys in a bucket, sent back to each block in its own order; contexts are judged where they are whole."""
     trim()
-    cells = list(map(unpack, t.column("payload").to_pylist()))
-    if level:
-        cells = [[np.repeat(number, len(pair)), np.repeat(name, length), pair, n, below, np.repeat(size.astype(np.int64), length), hot] for number, length, name, size, pair, n, below, hot in cells]
-    block, *cols = [np.concatenate(x) for x in zip(*cells, strict=True)]
-    bucket = t.column("to")[0].as_py()
-    rows = []
+    bucket, rows = t.column("to")[0].as_py(), []
+    got = list(map(unpack, t.column("payload").to_pylist()))
     if level == 0:
-        words, c = cols
+        block, words, c = (np.concatenate(x) for x in zip(*got, strict=True))
         u, back = np.unique(words, return_inverse=True)
         total = np.bincount(back, weights=c, minlength=len(u)).astype(np.int64)
-        rows.append((None, 0, bucket, None, int(total.sum()), int((total > 0).sum())))
-        rows += [(b, 0, bucket, pack(x), None, None) for b, x in dealt(block, total[back])]
+        rows.append((None, 0, bucket, None, int(total.sum()), int((total > 0).sum()), None))
+        rows += [(b, 0, bucket, pack(x), None, None, None) for b, x in dealt(block, total[back])]
     else:
-        context, pair, c, below, size, hot = cols
-        u, one, back = np.unique(pair, return_index=True, return_inverse=True)
+        got = [[np.repeat(number, len(low)), np.repeat(name, length), high.astype(np.uint64) << np.uint64(32) | low, np.repeat(size.astype(np.int64), length), n, below, hot] for number, length, name, size, low, high, n, below, hot in got]
+        block, context, word, size, c, below, hot = (np.concatenate(x) for x in zip(*got, strict=True))
+        u, one, back = np.unique(mix64(context * np.uint64(0x9E3779B97F4A7C15) + word), return_index=True, return_inverse=True)
         total = np.bincount(back, weights=c, minlength=len(u))
-        mu, own = model["smoothing"], context[one]
+        mu, own, whole, dealt_on = model["smoothing"], context[one], size[one], hot[one]
         seen = total > 0
-        highest = np.zeros(len(u))
-        np.maximum.at(highest, back, below)
-        p = (highest + 1) / (model["n"] + (model["v"] + 1)) if level == 1 else 10.0**-highest
+        rarest = np.zeros(len(u))
+        np.maximum.at(rarest, back, below)
+        p = 10.0**-rarest
         gain = np.zeros(len(u))
         # what the context says of each of its occurrences when that one is left out, against the context that is shorter by one
-        gain[seen] = total[seen] * np.log(((total[seen] - 1) / p[seen] + mu) / (size[one][seen] - 1 + mu))
+        gain[seen] = total[seen] * np.log(((total[seen] - 1) / p[seen] + mu) / (whole[seen] - 1 + mu))
         ctx, of = np.unique(own, return_inverse=True)
         total_gain = np.bincount(of, weights=gain, minlength=len(ctx))
-        kept = (total_gain >= model["min_gain"])[of] & ~hot[one]
+        kept = (total_gain >= model["min_gain"])[of] & ~dealt_on
         # a context with one next token alone can't have longer states once all it may still gain is too little: their shorter
         # contexts' probabilities are at least its own
         lone = np.bincount(of, weights=seen, minlength=len(ctx)) <= 1
         most = np.zeros(len(ctx))
-        np.maximum.at(most, of[seen], -size[one][seen] * np.log((total[seen] + mu * p[seen]) / (size[one][seen] + mu)))
-        open_ = (~lone | (most >= model["min_gain"]))[of] | hot[one]
-        for i in np.flatnonzero(np.bincount(of, weights=hot[one], minlength=len(ctx)) > 0).tolist():
-            rows.append((int(ctx[i].view(np.int64)), -level, bucket, pack(np.array([total_gain[i]])), None, None))
-        rows += [(b, level, bucket, pack(x, y), int(z.sum()), None) for b, x, y, z in dealt(block, total[back].astype(np.uint32), kept[back], open_[back])]
-    names = ["block", "level", "bucket", "payload", "n", "v"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+        np.maximum.at(most, of[seen], -whole[seen] * np.log((total[seen] + mu * p[seen]) / (whole[seen] + mu)))
+        open_ = (~lone | (most >= model["min_gain"]))[of] | dealt_on
+        for i in np.flatnonzero(np.bincount(of, weights=dealt_on, minlength=len(ctx)) > 0).tolist():
+            rows.append((int(ctx[i].view(np.int64)), -level, bucket, None, None, None, float(total_gain[i])))
+        rows += [(b, level, bucket, pack(x, y, z), int(y.sum()), None, None) for b, x, y, z in dealt(block, total[back].astype(np.uint32), kept[back], open_[back])]
+    names = ["block", "level", "bucket", "payload", "n", "v", "gain"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.float64()]
     return pa.table({n: pa.array([r[i] for r in rows], kinds[i]) for i, n in enumerate(names)})
 
 
@@ -227,90 +239,112 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, train, block_bytes: int)
     return docs.select(F.col(id_col).cast("bigint"), ~F.coalesce(train, F.lit(False)), text_col).mapInArrow(run, "block bigint, payload binary")
 
 
-def pst_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", depth: int | None = 2, min_count: int = 8, smoothing: float = 4.0, min_gain: float = 3.0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def pst_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", depth: int | None = None, min_count: int = 8, smoothing: float = 4.0, min_gain: float = 3.0, gap: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10).
 
     train: a boolean column over docs; null counts as held out. Tokens: words between ASCII white space, A-Z lower-cased, and
     one end for each text. base_score: sum of log10((c + 1) / (N + V + 1)) over tokens, with the training counts.
 
-    The model is a probabilistic suffix tree: a context of up to `depth` words that occurs min_count times in training is a
-    state if, each occurrence left out in turn, its own next-token counts say at least min_gain nats more of what follows it
-    than the context that is shorter by one word. Each token is scored by the longest suffix that is a state; a state's
-    distribution is its counts plus `smoothing` times the next shorter context's distribution, down to the base's, so that all
-    sum to one. Without a depth contexts grow by a word at a time until no longer one can be a state. Counts are of all training texts.
+    The model is a probabilistic suffix tree: a context of words that occurs min_count times in training is a state if, each
+    occurrence left out in turn, its own next-token counts say at least min_gain nats more of what follows it than the context
+    that is shorter by one word. Each token is scored by the longest suffix that is a state; a state's distribution is its
+    counts plus `smoothing` times the next shorter context's distribution, down to the base's, so that all sum to one. Contexts
+    grow by a word at a time until `gap` lengths in a row have no state (a word may turn on one further back and not on those
+    between), or up to `depth` words (1 at least). Counts are of all training texts.
 
-    Ids are integers; null and empty texts have an end only; a null id keeps its row; repeated rows are counted and scored as
-    often as they occur; without training texts N and V are 0; an empty table gives no rows. Other columns are not read.
+    Ids are integers; null and empty texts have an end only; a very long text is a block by itself; a null id keeps its row;
+    repeated rows are counted and scored as often as they occur; without training texts N and V are 0; an empty table gives no
+    rows. Other columns are not read.
 
     Documents are held in blocks; for each level a block sends its distinct (context, token) pairs with their counts to the
-    context's bucket and gets back the totals and the verdict. Contexts with over an eighth of an average bucket's tokens are
-    dealt by pair, and their gains are added up afterwards: there are at most eight times as many of them as buckets.
+    context's bucket and gets back the totals and the verdict. From the third level on only the positions are written and
+    looked at that still have a context. Contexts with over an eighth of an average bucket's tokens are dealt by pair; their
+    gains are summed by Spark, and the states among them, at most eight times as many as buckets, are all that the driver sees.
     """
     n = part_count(docs)
-    state = written(blocks(docs, id_col, text_col, train, block_bytes))
-    model = {"buckets": n, "depth": depth, "min_count": min_count, "smoothing": smoothing, "min_gain": min_gain, "n": 0, "v": 0, "hot": float("inf"), "kept_hot": np.empty(0, np.uint64)}
-
-    def asked(level: int, replies: DataFrame | None, m: dict) -> DataFrame:
-        if replies is None:
-
-            def first(batches):
-                for b in batches:
-                    for name, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                        block = Block(payload, {}, m)
-                        block.number = name
-                        for to, x in block.ask(0):
-                            yield pa.RecordBatch.from_arrays([pa.array([to], pa.int32()), pa.array([x], pa.binary())], ["to", "payload"])
+    model = {"buckets": n, "min_count": min_count, "smoothing": smoothing, "min_gain": min_gain, "n": 0, "v": 0, "hot": float("inf"), "kept_hot": np.empty(0, np.uint64)}
+    state, base = written(blocks(docs, id_col, text_col, train, block_bytes)), 0
 
-            return state.mapInArrow(first, "to int, payload binary")
-        return with_replies(replies, lambda block: (list(zip(*block.ask(level), strict=True)) or [(), ()]), ["to", "payload"], [pa.int32(), pa.binary()], "to int, payload binary", m)
+    def met(f, names, kinds, schema: str, m: dict, base: int, upto: int) -> DataFrame:
+        """f(front, block) of each block, whose levels below `upto` are answered. base: the level of the written state."""
 
-    def with_replies(replies: DataFrame, f, names, kinds, schema: str, m: dict) -> DataFrame:
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             trim()
             got: dict[int, dict[int, tuple]] = {}
             for level, bucket, payload in zip(*(right.column(c).to_pylist() for c in ("level", "bucket", "payload")), strict=True):
                 got.setdefault(level, {})[bucket] = unpack(payload)
             out = []
-            for name, payload in zip(left.column("block").to_pylist(), left.column("payload").to_pylist(), strict=True):
-                block = Block(payload, got, m)
-                block.number = name
-                out.append(pa.table({k: pa.array(x, t) for k, x, t in zip(names, f(block), kinds, strict=True)}))
+            for block, payload in zip(left.column("block").to_pylist(), left.column("payload").to_pylist(), strict=True):
+                front = Front.load(base, payload, m) if base else Front.first(payload, got[0], m)
+                while front.level < upto:
+                    front.answer(got.get(front.level, {}))
+                    front = front.longer()
+                out.append(pa.table({k: pa.array(x, t) for k, x, t in zip(names, f(front, block), kinds, strict=True)}))
             return pa.concat_tables(out) if out else pa.table({k: pa.array([], t) for k, t in zip(names, kinds, strict=True)})
 
         mine = replies.where("level >= 0 and block is not null").select("block", "level", "bucket", "payload")
         return state.groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(run, schema)
 
-    def teller(level: int, m: dict):
-        return lambda t: tally(t, level, m)
-
-    replies = None
-    for level in count():
+    def words_asked(batches):
+        for b in batches:
+            for name, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for to, x in ask_words(payload, name, first):
+                    yield pa.RecordBatch.from_arrays([pa.array([to], pa.int32()), pa.array([x], pa.binary())], ["to", "payload"])
+
+    def asked(front: Front, block: int):
+        rows = list(front.ask(block))
+        return [None] * len(rows), [r[0] for r in rows], [r[1] for r in rows]
+
+    def carried(front: Front, block: int):
+        _, to, cells = asked(front, block)
+        return [block] + [None] * len(to), [None, *to], [front.dump(), *cells]
+
+    cell = (["block", "to", "payload"], [pa.int64(), pa.int32(), pa.binary()], "block bigint, to int, payload binary")
+    teller = lambda level, m: lambda t: tally(t, level, m)
+    first = dict(model)
+    replies = written(state.mapInArrow(words_asked, "to int, payload binary").groupBy("to").applyInArrow(teller(0, first), REPLY))
+    total = replies.where("block is null").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    model |= {"n": total["n"] or 0, "v": total["v"] or 0}
+    model["hot"] = max(min_count, model["n"] / (8 * n))
+    old: list[DataFrame] = []
+    empty = 0
+    for level in count(1):
         m = dict(model)
-        told = written(asked(level, replies, m).groupBy("to").applyInArrow(teller(level, m), REPLY))
-        if level == 0:
-            total = told.where("block is null").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
-            model |= {"n": total["n"] or 0, "v": total["v"] or 0}
-            model["hot"] = max(min_count, model["n"] / (8 * n))
+        if level < CARRIED:
+            cells = met(asked, *cell, m, base, level)
+        else:
+            both = written(met(carried, *cell, m, base, level))
+            for df in old:
+                discard(df)
+            old = [both]
+            state, base = both.where("to is null").select("block", "payload"), level
+            cells = both.where("to is not null")
+        told = written(cells.select("to", "payload").groupBy("to").applyInArrow(teller(level, m), REPLY))
+        hot = told.where(f"level = {-level}").groupBy("block").agg(F.sum("gain").alias("gain")).where(F.col("gain") >= min_gain)
+        kept_hot = np.array([r["block"] for r in hot.select("block").collect()], np.int64).view(np.uint64)
+        model["kept_hot"] = np.concatenate([model["kept_hot"], kept_hot])
+        kept = len(kept_hot) + (told.where(f"level = {level}").agg(F.sum("n").alias("n")).first()["n"] or 0)
+        old.append(told)
+        if base:
+            replies = told
         else:
-            hot: dict[int, float] = {}
-            for r in told.where(f"level = {-level}").select("block", "payload").toLocalIterator():
-                hot[r.block] = hot.get(r.block, 0.0) + float(unpack(bytes(r.payload))[0][0])
-            kept = np.array([k for k, g in hot.items() if g >= min_gain], np.int64).view(np.uint64)
-            model["kept_hot"] = np.concatenate([model["kept_hot"], kept])
-        replies = told if replies is None else replies.unionByName(told)
-        model["depth"] = level
-        if level == depth or depth is None and level and not told.where("block is not null and n > 0").where(f"level = {level}").limit(1).count():
+            old += [state] if level == 1 else []
+            old += [replies] if level == 1 else []
+            replies = replies.unionByName(told)
+        empty = 0 if kept else empty + 1
+        if level == depth or empty == gap:
             break
 
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    last = dict(model)
 
-    def scored(block: Block):
-        known, base, score = block.score()
-        return [pa.array(block.doc, mask=block.null), block.held, block.sizes, known, np.full(len(block.doc), block.m["n"]), base, score]
+    def scored(front: Front, block: int):
+        doc, null, held, sizes, known, low, _ = front.docs
+        return [pa.array(doc, mask=null), held, sizes, known, np.full(len(doc), last["n"]), low, front.scores()]
 
-    return with_replies(replies, scored, names, kinds, f"`{id_col}` bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double", dict(model))
+    return met(scored, names, kinds, f"`{id_col}` bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double", last, base, level + 1)
 
 
 def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pst_scores(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) != 2, depth=None)
+    return pst_scores(table(spark, sf_dir, "documents"), F.coalesce(crc_mod("doc_id", 7) != 2, F.lit(True)))

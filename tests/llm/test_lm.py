@@ -39,6 +39,9 @@ def brute(docs, depth, min_count, mu, min_gain):
             gain = sum(k * math.log(((k - 1) / p(c[1:], w) + mu) / (size[c] - 1 + mu)) for w, k in x.items())
             if gain >= min_gain:
                 kept.add(c)
+    lengths = {len(c) for c in kept}
+    stop = next((d for d in range(1, depth + 1) if not lengths & {d, d + 1}), depth + 1)  # two lengths without a state end the tree
+    kept = {c for c in kept if len(c) < stop}
     for _, t in docs:
         w = tokens(t)
         base = sum(math.log10(p((), x)) for x in w)
@@ -80,7 +83,7 @@ def test_query_base_matches_brute_force(spark):
     d = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     train = {i: zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows}
-    want = dict(zip([i for i, _ in rows], brute([(train[i], t) for i, t in rows], 2, 8, 4.0, 3.0), strict=True))
+    want = dict(zip([i for i, _ in rows], brute([(train[i], t) for i, t in rows], 8, 8, 4.0, 3.0), strict=True))
     got = L.op2_lm(spark, d).collect()
     assert len(got) == len(rows)
     for r in got:
@@ -93,6 +96,7 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(None, None, 1), (2, "", 1), (2, "", 1), (3, "a", 1)], "doc_id long, text string, score int")
     got = L.pst_scores(df, L.F.lit(True)).collect()
     assert sorted((r.doc_id or 0, r.n_tokens, r.n_known, r.train_tokens) for r in got) == [(0, 1, 1, 5), (2, 1, 1, 5), (2, 1, 1, 5), (3, 2, 2, 5)]
+    assert {r.held_out for r in L.pst_scores(df.withColumn("train", L.crc_mod("doc_id", 7) != 2), L.F.col("train")).collect() if r.doc_id is None} == {True}
     none = L.pst_scores(df, L.F.lit(False)).collect()
     assert {(r.train_tokens, r.n_known, r.score) for r in none} == {(0, 0, 0.0)}
     assert L.pst_scores(df.limit(0), L.F.lit(True)).count() == 0
@@ -103,6 +107,7 @@ def test_contexts_grow_until_none_is_a_state(spark, monkeypatch):
     monkeypatch.setattr(L, "part_count", lambda df: 3)
     rng = random.Random(4)
     rows = [(i, " ".join(w for _ in range(12) for w in (lambda a: (a, "of", "the", a.upper() + "z"))(rng.choice("abcd")))) for i in range(60)]
+    rows[7] = (7, " ".join([rows[7][1]] * 400))  # a very long text, beyond a block
     got = {r.doc_id: r for r in L.pst_scores(spark.createDataFrame(rows, "doc_id long, text string"), L.F.col("doc_id") % 5 != 2, depth=None, block_bytes=2000).collect()}
     whole, cut = (list(brute([(i % 5 != 2, t) for i, t in rows], d, 8, 4.0, 3.0)) for d in (7, 2))
     for (i, _), (*_, score), (*_, short) in zip(rows, whole, cut, strict=True):
