@@ -54,12 +54,21 @@ def replied(replies: dict[int, tuple], order: np.ndarray, to: np.ndarray, column
     return out
 
 
+def small(x: np.ndarray) -> np.ndarray:
+    """Numbers in 32 bits if they fit."""
+    return x.astype(np.uint32 if x.max(initial=0) < 1 << 32 else np.uint64)
+
+
 def words_sent(words: np.ndarray, m: dict) -> tuple[np.ndarray, np.ndarray]:
     """Words in the order sent (by bucket) and their buckets."""
     to = (mix64(words) % np.uint64(m["buckets"])).astype(np.int32)
     return np.argsort(to, kind="stable"), to
 
 
+def pair_key(name: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix64(name.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.astype(np.uint64))
+
+
 def ask_words(state: bytes, number: int, m: dict):
     """(bucket, words and their training counts, packed) for each bucket."""
     _, _, held, sizes, ids, words = unpack(state)
@@ -75,7 +84,7 @@ class Front:
     docs: of each document the id, null flag, held-out flag, tokens, tokens known, base score, and the score of the tokens that
     no longer context can change. at, owner, tok, ctx, below, final: of each position its place in the block, document, word,
     context, and the probabilities by the next shorter context and by the longest state so far. words, names, sizes: the words'
-    hashes, the contexts' hashes and training counts."""
+    numbers in the corpus, the contexts' names (the bucket that has counted them, and their number there) and training counts."""
 
     def __init__(self, level: int, docs: list[np.ndarray], rows: list[np.ndarray], tables: list[np.ndarray], model: dict):
         self.level, self.docs, self.m = level, docs, model
@@ -87,7 +96,7 @@ class Front:
         """Level 1, from a block's tokens and its words' counts."""
         doc, null, held, sizes, ids, words = unpack(state)
         order, to = words_sent(words, m)
-        seen = replied(replies, order, to, 0, np.int64)
+        seen, rank = (replied(replies, order, to, i, np.int64) for i in (0, 1))
         base = (seen + 1) / (m["n"] + (m["v"] + 1))
         owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         p = base[ids]
@@ -100,56 +109,60 @@ class Front:
         gone = np.ones(len(ids), bool)
         gone[use] = False
         docs[6] += np.bincount(owner[gone], weights=np.log10(p[gone]), minlength=len(sizes))
-        return Front(1, docs, [use, owner[use], ids[use], ids[use - 1], p[use], p[use]], [words, words, seen], m)
+        return Front(1, docs, [use, owner[use], ids[use], ids[use - 1], p[use], p[use]], [rank * m["buckets"] + to, to.astype(np.int64) << 32 | rank, seen], m)
 
     @staticmethod
     def load(level: int, payload: bytes, m: dict) -> Front:
         x = unpack(payload)
         at, owner = np.cumsum(x[7].astype(np.int64)), np.cumsum(x[8].astype(np.int64)).astype(np.int32)
-        return Front(level, x[:7], [at, owner, x[9], x[10], x[11].astype(np.float64), x[12].astype(np.float64)], x[13:], m)
+        return Front(level, x[:7], [at, owner, x[9], x[10], x[11].astype(np.float64), x[12].astype(np.float64)], [t.astype(np.int64) for t in x[13:]], m)
 
     def dump(self) -> bytes:
         some = lambda x: np.unique(x, return_inverse=True)
         (used, tok), (held, ctx) = some(self.tok), some(self.ctx)
         step = lambda x: np.diff(x, prepend=0).astype(np.uint32)
-        size = self.sizes[held]
         rows = [step(self.at), step(self.owner), tok.astype(np.int32), ctx.astype(np.int32), self.below.astype(np.float32), self.final.astype(np.float32)]
-        return pack(*self.docs, *rows, self.words[used], self.names[held], size.astype(np.uint32) if size.max(initial=0) < 1 << 32 else size)
+        return pack(*self.docs, *rows, small(self.words[used]), self.names[held], small(self.sizes[held]))
 
     def pairs(self) -> None:
-        """The distinct (context, word) pairs of the positions, their hashes, buckets and the order in which they are sent."""
+        """The distinct (context, word) pairs of the positions, their buckets and the order in which they are sent. A context's
+        pairs go to the bucket that has counted it, but for hot ones."""
         keys, self.back = np.unique(self.ctx.astype(np.int64) << 32 | self.tok.astype(np.int64), return_inverse=True)
-        self.own, self.word = keys >> 32, keys & 0xFFFFFFFF
+        self.own, word = keys >> 32, self.words[keys & 0xFFFFFFFF]
         name = self.names[self.own]
-        self.pair = mix64(name * np.uint64(0x9E3779B97F4A7C15) + mix64(self.words[self.word] + np.uint64(self.level)))
-        self.size = self.sizes[self.own].astype(np.int64)
+        self.size = self.sizes[self.own]
         self.hot = self.size > self.m["hot"]
-        self.bucket = (np.where(self.hot, mix64(self.pair), mix64(name)) % np.uint64(self.m["buckets"])).astype(np.int32)
-        self.sent = np.lexsort((keys, self.bucket))
+        self.bucket = np.where(self.hot, pair_key(name, word) % np.uint64(self.m["buckets"]), name.astype(np.uint64) >> np.uint64(32)).astype(np.int32)
+        self.sent = np.lexsort((name, self.bucket))
+        self.word = word
 
     def ask(self, number: int):
-        """(bucket, pairs with their training counts, packed) for each bucket. A context's pairs stand together; 48 bits of the
-        word's hash tell them apart within it."""
+        """(bucket, pairs with their training counts, packed) for each bucket. A context's pairs stand together."""
         self.pairs()
         train = ~self.docs[2][self.owner]
         n = np.bincount(self.back, weights=train, minlength=len(self.own)).astype(np.uint32)
-        below = np.zeros(len(self.own), np.float32)
-        below[self.back[train]] = -np.log10(self.below[train])  # only training pairs are weighed; equal for all of a pair
-        word = self.words[self.word]
-        low, high = (word & np.uint64(0xFFFFFFFF)).astype(np.uint32), ((word >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16)
-        wide = np.int64 if self.size.max(initial=0) >= 1 << 32 else np.uint32
+        below = np.zeros(len(self.own), np.float64)
+        below[self.back[train]] = self.below[train]  # only training pairs are weighed; equal for all of a pair
+        if self.level == 1:  # the base's probability, by the word's count
+            below = small(np.maximum(np.rint(below * (self.m["n"] + (self.m["v"] + 1))) - 1, 0))
+        else:
+            below = np.where(below > 0, -np.log10(np.where(below > 0, below, 1)), 0).astype(np.float32)
         for bucket, at in dealt(self.bucket[self.sent], self.sent):
             run = np.flatnonzero(np.concatenate([[True], np.diff(self.own[at]) != 0]))
-            length = np.diff(np.append(run, len(at))).astype(np.uint32)
-            yield bucket, pack(np.array([number]), length, self.names[self.own[at[run]]], self.size[at[run]].astype(wide), low[at], high[at], n[at], below[at], self.hot[at])
+            length = np.diff(np.append(run, len(at)))
+            own = at[run]
+            yield bucket, pack(np.array([number]), small(length), np.diff(self.names[self.own[own]], prepend=0), small(self.size[own]), small(self.word[at]), n[at], below[at], self.hot[own])
 
     def answer(self, replies: dict[int, tuple]) -> None:
-        """Takes the pairs' total counts and their contexts' verdicts."""
+        """Takes the pairs' total counts, their contexts' verdicts, and the names of those that may be contexts themselves."""
         self.pairs()
-        mu = self.m["smoothing"]
+        mu, self.pair = self.m["smoothing"], np.zeros(len(self.own), np.int64)
         self.count = replied(replies, self.sent, self.bucket, 0, np.int64)
-        kept = replied(replies, self.sent, self.bucket, 1, bool) | self.hot & np.isin(self.names[self.own], self.m["kept_hot"])
+        kept = replied(replies, self.sent, self.bucket, 1, bool) | self.hot & np.isin(self.names[self.own], self.m["kept_hot"].get(self.level, []))
         self.open = replied(replies, self.sent, self.bucket, 2, bool)
+        for bucket, at in dealt(self.bucket[self.sent], self.sent):
+            named = at[(self.count[at] >= self.m["min_count"]) & self.open[at]]
+            self.pair[named] = np.int64(bucket) << 32 | replies[bucket][3].astype(np.int64)
         self.below = (self.count[self.back] + mu * self.below) / (self.size[self.back] + mu)
         self.final = np.where(kept[self.back], self.below, self.final)
 
@@ -177,18 +190,20 @@ def tally(t: pa.Table, level: int, model: dict) -> pa.Table:
         block, words, c = (np.concatenate(x) for x in zip(*got, strict=True))
         u, back = np.unique(words, return_inverse=True)
         total = np.bincount(back, weights=c, minlength=len(u)).astype(np.int64)
+        rank = np.empty(len(u), np.int64)
+        rank[np.argsort(-total, kind="stable")] = np.arange(len(u))  # frequent words have small numbers
         rows.append((None, 0, bucket, None, int(total.sum()), int((total > 0).sum()), None))
-        rows += [(b, 0, bucket, pack(x), None, None, None) for b, x in dealt(block, total[back])]
+        rows += [(b, 0, bucket, pack(small(x), small(y)), None, None, None) for b, x, y in dealt(block, total[back], rank[back])]
     else:
-        got = [[np.repeat(number, len(low)), np.repeat(name, length), high.astype(np.uint64) << np.uint64(32) | low, np.repeat(size.astype(np.int64), length), n, below, hot] for number, length, name, size, low, high, n, below, hot in got]
+        got = [[np.repeat(number, len(word)), np.repeat(np.cumsum(name), length), word.astype(np.int64), np.repeat(size.astype(np.int64), length), n, below, np.repeat(hot, length)] for number, length, name, size, word, n, below, hot in got]
         block, context, word, size, c, below, hot = (np.concatenate(x) for x in zip(*got, strict=True))
-        u, one, back = np.unique(mix64(context * np.uint64(0x9E3779B97F4A7C15) + word), return_index=True, return_inverse=True)
+        u, one, back = np.unique(pair_key(context, word), return_index=True, return_inverse=True)
         total = np.bincount(back, weights=c, minlength=len(u))
         mu, own, whole, dealt_on = model["smoothing"], context[one], size[one], hot[one]
         seen = total > 0
         rarest = np.zeros(len(u))
         np.maximum.at(rarest, back, below)
-        p = 10.0**-rarest
+        p = (rarest + 1) / (model["n"] + (model["v"] + 1)) if level == 1 else 10.0**-rarest
         gain = np.zeros(len(u))
         # what the context says of each of its occurrences when that one is left out, against the context that is shorter by one
         gain[seen] = total[seen] * np.log(((total[seen] - 1) / p[seen] + mu) / (whole[seen] - 1 + mu))
@@ -202,8 +217,10 @@ def tally(t: pa.Table, level: int, model: dict) -> pa.Table:
         np.maximum.at(most, of[seen], -whole[seen] * np.log((total[seen] + mu * p[seen]) / (whole[seen] + mu)))
         open_ = (~lone | (most >= model["min_gain"]))[of] | dealt_on
         for i in np.flatnonzero(np.bincount(of, weights=dealt_on, minlength=len(ctx)) > 0).tolist():
-            rows.append((int(ctx[i].view(np.int64)), -level, bucket, None, None, None, float(total_gain[i])))
-        rows += [(b, level, bucket, pack(x, y, z), int(y.sum()), None, None) for b, x, y, z in dealt(block, total[back].astype(np.uint32), kept[back], open_[back])]
+            rows.append((int(ctx[i]), -level, bucket, None, None, None, float(total_gain[i])))
+        named = (total >= model["min_count"]) & open_
+        number = np.cumsum(named) - 1
+        rows += [(b, level, bucket, pack(small(x), y, z, small(i[v])), int(y.sum()), None, None) for b, x, y, z, i, v in dealt(block, total[back].astype(np.int64), kept[back], open_[back], number[back], named[back])]
     names = ["block", "level", "bucket", "payload", "n", "v", "gain"]
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.float64()]
     return pa.table({n: pa.array([r[i] for r in rows], kinds[i]) for i, n in enumerate(names)})
@@ -262,7 +279,7 @@ def pst_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "
     gains are summed by Spark, and the states among them, at most eight times as many as buckets, are all that the driver sees.
     """
     n = part_count(docs)
-    model = {"buckets": n, "min_count": min_count, "smoothing": smoothing, "min_gain": min_gain, "n": 0, "v": 0, "hot": float("inf"), "kept_hot": np.empty(0, np.uint64)}
+    model = {"buckets": n, "min_count": min_count, "smoothing": smoothing, "min_gain": min_gain, "n": 0, "v": 0, "hot": float("inf"), "kept_hot": {}}
     state, base = written(blocks(docs, id_col, text_col, train, block_bytes)), 0
 
     def met(f, names, kinds, schema: str, m: dict, base: int, upto: int) -> DataFrame:
@@ -321,8 +338,8 @@ def pst_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "
             cells = both.where("to is not null")
         told = written(cells.select("to", "payload").groupBy("to").applyInArrow(teller(level, m), REPLY))
         hot = told.where(f"level = {-level}").groupBy("block").agg(F.sum("gain").alias("gain")).where(F.col("gain") >= min_gain)
-        kept_hot = np.array([r["block"] for r in hot.select("block").collect()], np.int64).view(np.uint64)
-        model["kept_hot"] = np.concatenate([model["kept_hot"], kept_hot])
+        kept_hot = np.array([r["block"] for r in hot.select("block").collect()], np.int64)
+        model["kept_hot"] = model["kept_hot"] | {level: kept_hot}
         kept = len(kept_hot) + (told.where(f"level = {level}").agg(F.sum("n").alias("n")).first()["n"] or 0)
         old.append(told)
         if base:
