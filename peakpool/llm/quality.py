@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from peakpool.llm.common import as_bytes, parts, table, written
@@ -48,7 +48,9 @@ def repeated(w: list[bytes]) -> int:
 
 
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
-RATES = {"length": "word_chars / n_words", "symbols": "n_symbols / n_words", "lines": "n_dup_lines / n_lines"}
+RATES = {"length": "word_chars / n_words", "symbols": "n_symbols / n_words", "lines": "n_dup_lines / n_lines", "words": "n_words", "rows": "n_lines"}
+#: Rules on counts: the sketched rate, its count, and what that is out of, with the sketch of the latter.
+COUNTED = {"symbols": ("n_symbols", "n_words", "words"), "lines": ("n_dup_lines", "n_lines", "rows")}
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
@@ -69,12 +71,44 @@ def sketches(values: DataFrame) -> DataFrame:
     return values.where("value is not null").groupBy("lang", "source", "metric", bin_of.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def middle(bin_: Column) -> Column:
+    return F.when(bin_.isNull(), F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), bin_) * F.lit(2 / (1 + GAMMA)))
+
+
+def pooled(sketch: DataFrame, least: int) -> DataFrame:
+    """(lang, source, metric, bin, n) of each language and source: their own sketch if it holds `least` texts, else the merged one of
+    the language, else that of all texts."""
+    keys = ["lang", "source", "metric"]
+    of = lambda level: sketch.groupBy(*keys[:level], "metric").agg(F.sum("n").alias("total"))
+    same = lambda a, b, names: F.expr(" and ".join(f"{a}.{c} <=> {b}.{c}" for c in names))
+    groups = sketch.groupBy(*keys).agg(F.sum("n").alias("own")).alias("g").join(F.broadcast(of(1).alias("l")), same("g", "l", ["lang", "metric"]))  # a row for each language and metric
+    groups = groups.select("g.*", F.when(F.col("own") >= least, 2).when(F.col("total") >= least, 1).otherwise(0).alias("level"))
+    merged = [sketch.groupBy("metric", "bin").agg(F.sum("n").alias("n")), sketch.groupBy("lang", "metric", "bin").agg(F.sum("n").alias("n")), sketch]
+    parts = []
+    for level, m in enumerate(merged):
+        mine = groups.where(F.col("level") == level).drop("own", "level").alias("g")
+        parts.append(mine.join(m.alias("m"), same("g", "m", [*keys[:level], "metric"])).select("g.*", "m.bin", "m.n"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def quantiles(sketch: DataFrame, at: dict[str, float]) -> DataFrame:
     """(lang, source, metric, one column for each of at): the sketches' quantiles, by the bins' middles."""
     w = Window.partitionBy("lang", "source", "metric")
     run = sketch.withColumns({"below": F.sum("n").over(w.orderBy(F.col("bin").asc_nulls_first())), "total": F.sum("n").over(w)})
-    middle = F.when(F.col("bin").isNull(), F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), F.col("bin")) * F.lit(2 / (1 + GAMMA)))
-    return run.groupBy("lang", "source", "metric").agg(*[F.min(F.when(F.col("below") >= F.col("total") * F.lit(q), middle)).alias(name) for name, q in at.items()])
+    return run.groupBy("lang", "source", "metric").agg(*[F.min(F.when(F.col("below") >= F.col("total") * F.lit(q), middle(F.col("bin")))).alias(name) for name, q in at.items()])
+
+
+def breaks(sketch: DataFrame, zero: DataFrame, factor: float, above: float) -> DataFrame:
+    """(lang, source, metric, limit): where a sketch breaks off. Of neighbouring bins that hold texts, the first above the
+    quantile `above` whose next one is `factor` times as high; the limit is their geometric mean. Null if there is none: then
+    the group is one population. zero: (lang, source, metric, zero), the rate that no occurrence stands for."""
+    key = ["lang", "source", "metric"]
+    w = Window.partitionBy(*key)
+    rows = sketch.alias("s").join(F.broadcast(zero).alias("z"), F.expr(" and ".join(f"s.{c} <=> z.{c}" for c in key))).select("s.*", "zero")
+    rows = rows.withColumn("value", F.greatest(middle(F.col("bin")), F.col("zero")))
+    run = rows.withColumns({"below": F.sum("n").over(w.orderBy(F.col("bin").asc_nulls_first())), "total": F.sum("n").over(w), "next": F.lead("value").over(w.orderBy(F.col("bin").asc_nulls_first()))})
+    broken = (F.col("below") >= F.col("total") * F.lit(above)) & (F.col("next") >= F.col("value") * F.lit(factor))
+    return run.groupBy(*key).agg(F.min(F.when(broken, F.sqrt(F.col("value") * F.col("next")))).alias("limit"))
 
 
 def with_limits(m: DataFrame, limits: DataFrame) -> DataFrame:
@@ -85,37 +119,43 @@ def with_limits(m: DataFrame, limits: DataFrame) -> DataFrame:
     return m.join(limits, F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_")), "left").drop("lang_", "source_")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", fence: float = 3.0) -> DataFrame:
-    """One row per row of docs: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
-
-    base_failed: fewer than 10 words, or over a fifth of them in repeated windows. Of the others, kept is false if the text's
-    mean word length, symbols per word or share of repeated lines lies beyond its language's and source's middle half by
-    over `fence` times its width and `fence` sampling errors. A rate's sampling error is that of a count at the upper quartile's
-    level, of one occurrence at least; a mean word length's is the upper quartile of its group's |length - median| sqrt(n_words),
-    over sqrt(n_words). Quantiles are of all texts with words; nulls in lang or source
-    are a group of their own; null and empty texts have no words and fail; repeated rows are judged alike; an empty table gives
-    no rows. Other columns are not read. Counts are written once; sketches are aggregated before any shuffle, so that a hot
-    source costs its bins only.
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", fence: float = 3.0, factor: float = 4.0, least: int = 30) -> DataFrame:
+    """One row per row of docs: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rules (those
+    of length, symbols and lines that the text fails, comma-joined).
+
+    base_failed: fewer than 10 words, or over a fifth of them in repeated windows. Of the others, kept is false if the text fails
+    one of three rules, whose limits all come from the sketches of its language and source (pooled() says which, if they hold
+    fewer than `least` texts):
+    length: the mean word length lies beyond the group's middle half by over `fence` times its width and `fence` sampling
+    errors; one is the upper quartile of the group's |length - median| sqrt(n_words), over sqrt(n_words).
+    symbols, lines: symbols per word, or the share of repeated lines, lie beyond the place where the group's upper quarter breaks
+    off (by `factor`; no occurrence stands for half of one in the group's median text), by over `fence` standard errors of a
+    count at that rate, of one occurrence at least. A group that doesn't break off has no such limit.
+    Quantiles are of all texts with words; nulls in lang or source
+    are a group of their own; null and empty texts have no words and fail; very long texts are measured whole; repeated rows are
+    judged alike; an empty table gives no rows. Other columns are not read. Counts are written once; sketches are aggregated
+    before any shuffle, so that a hot source costs its bins only.
     """
     m = written(measured(docs, id_col, text_col, lang_col, source_col))
     stacked = m.where("n_words > 0").select("lang", "source", F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.expr(e).cast("double").alias("value")) for k, e in RATES.items()])).alias("x")).select("lang", "source", "x.*")
-    q = quantiles(sketches(stacked), {"low": 0.25, "mid": 0.5, "high": 0.75})
-    limits = q.groupBy("lang", "source").pivot("metric", list(RATES)).agg(F.first("low").alias("low"), F.first("mid").alias("mid"), F.first("high").alias("high"))
-    limits = written(limits)
-    n_words, n_lines = (F.greatest(n, F.lit(1)) for n in ("n_words", "n_lines"))
-    rate = {k: F.expr(e.replace(" / ", " / nullif(") + ", 0)") for k, e in RATES.items()}
-    spread = with_limits(m.where("n_words > 0"), limits).select("lang", "source", F.lit("spread").alias("metric"), (F.abs(rate["length"] - F.col("length_mid")) * F.sqrt(n_words)).alias("value"))
-    j = with_limits(with_limits(m, limits), written(quantiles(sketches(spread), {"spread": 0.75}).drop("metric")))
-    fences = lambda k: F.lit(fence) * (F.col(f"{k}_high") - F.col(f"{k}_low"))
-    error = lambda k, n: F.lit(fence) * F.sqrt(F.greatest(F.col(f"{k}_high"), 1 / n) / n)
-    sampled = F.lit(fence) * F.col("spread") / F.sqrt(n_words)
-    fine = (
-        rate["length"].between(F.col("length_low") - fences("length") - sampled, F.col("length_high") + fences("length") + sampled)
-        & (rate["symbols"] <= F.col("symbols_high") + fences("symbols") + error("symbols", n_words))
-        & (rate["lines"] <= F.col("lines_high") + fences("lines") + error("lines", n_lines))
-    )
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return j.select(F.col("id").alias(id_col), *METRICS[:5], failed.alias("base_failed"), (~failed & F.coalesce(fine, F.lit(True))).alias("kept"))
+    own = written(pooled(written(sketches(stacked)), least))
+    q = written(quantiles(own, {"low": 0.25, "mid": 0.5, "high": 0.75}))
+    length = q.where("metric = 'length'").drop("metric").withColumnsRenamed({c: f"length_{c}" for c in ("low", "mid", "high")})
+    zero = q.where(F.col("metric").isin([x[2] for x in COUNTED.values()]))
+    named = F.create_map(*[F.lit(y) for k, x in COUNTED.items() for y in (x[2], k)])
+    zero = zero.select("lang", "source", named[F.col("metric")].alias("metric"), (0.5 / F.col("mid")).alias("zero"))
+    limits = breaks(own.where(F.col("metric").isin(list(COUNTED))), zero, factor, 0.75).groupBy("lang", "source").pivot("metric", list(COUNTED)).agg(F.first("limit"))
+    n_words = F.greatest("n_words", F.lit(1))
+    mean = F.expr("word_chars / nullif(n_words, 0)")
+    spread = with_limits(m.where("n_words > 0"), length).select("lang", "source", F.lit("spread").alias("metric"), (F.abs(mean - F.col("length_mid")) * F.sqrt(n_words)).alias("value"))
+    spread = quantiles(pooled(written(sketches(spread)), least), {"spread": 0.75}).drop("metric")
+    j = with_limits(with_limits(with_limits(m, length), written(limits)), written(spread))
+    beside = F.lit(fence) * (F.col("length_high") - F.col("length_low") + F.col("spread") / F.sqrt(n_words))
+    most = lambda k, n: F.col(k) * F.col(n) + F.lit(fence) * F.sqrt(F.greatest(F.col(k) * F.col(n), F.lit(1.0)))
+    failed = {"length": ~mean.between(F.col("length_low") - beside, F.col("length_high") + beside)} | {k: F.col(x[0]) > most(k, x[1]) for k, x in COUNTED.items()}
+    rules = F.concat_ws(",", *[F.when(c, F.lit(k)) for k, c in failed.items()])
+    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return j.select(F.col("id").alias(id_col), *METRICS[:5], base.alias("base_failed"), (~base & (rules == "")).alias("kept"), rules.alias("rules"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,3 +81,81 @@ def test_repeated_lines_of_a_clean_group_are_rejected(spark):
     rows = spark.createDataFrame(clean + odd, "doc_id long, text string, lang string, source string")
     got = {r.doc_id: r for r in Q.judge(rows).collect()}
     assert all(got[i].kept for i in range(40)) and not got[100].kept and not got[100].base_failed and got[100].n_dup_lines == 9
+
+
+def plain_verdicts(rows, fence=3.0, factor=4.0, least=30):
+    """rows: (id, text, lang, source). -> kept and failed rules of each, from plain dictionaries of bins."""
+    import math
+
+    bin_of = lambda v: 0 if v <= 0 else None if v is None else (math.ceil(math.log(v) / math.log(Q.GAMMA)), 1)
+    mid = lambda b: 0.0 if b == 0 else Q.GAMMA ** b[0] * 2 / (1 + Q.GAMMA)
+    order = lambda b: (0, 0) if b == 0 else (1, b[0])
+    counts = [(k, x) for k, x in ((r, brute(r[1])) for r in rows)]
+    lines = {id(r): sum(bool(WORD.search(x)) for x in (r[1] or "").split("\n")) for r in rows}
+
+    def sketch(value):
+        out = {}
+        for r, c in counts:
+            if c[0]:
+                for key in ((r[2], r[3]), (r[2],), ()):
+                    out.setdefault(key, Counter())[bin_of(value(r, c))] += 1
+        return lambda r: next(s for s in (out.get((r[2], r[3]), Counter()), out.get((r[2],), Counter()), out[()]) if sum(s.values()) >= least or s is out[()])
+
+    def quantile(s, q):
+        n = 0
+        for b in sorted(s, key=order):
+            n += s[b]
+            if n >= q * sum(s.values()):
+                return mid(b)
+
+    def limit(s, zero):
+        bins, n = sorted(s, key=order), 0
+        for b, c in zip(bins, bins[1:]):
+            n += s[b]
+            x, y = max(mid(b), zero), max(mid(c), zero)
+            if n >= 0.75 * sum(s.values()) and y >= factor * x:
+                return math.sqrt(x * y)
+
+    length, words, rows_ = sketch(lambda r, c: c[1] / c[0]), sketch(lambda r, c: c[0]), sketch(lambda r, c: lines[id(r)])
+    symbols, dups = sketch(lambda r, c: c[2] / c[0]), sketch(lambda r, c: c[3] / lines[id(r)])
+    spread = sketch(lambda r, c: abs(c[1] / c[0] - quantile(length(r), 0.5)) * math.sqrt(c[0]))
+    for r, c in counts:
+        failed = []
+        if c[0]:
+            low, high = quantile(length(r), 0.25), quantile(length(r), 0.75)
+            beside = fence * (high - low + quantile(spread(r), 0.75) / math.sqrt(c[0]))
+            failed += ["length"] * (not low - beside <= c[1] / c[0] <= high + beside)
+            for name, s, k, n, of in (("symbols", symbols, c[2], c[0], words), ("lines", dups, c[3], lines[id(r)], rows_)):
+                x = limit(s(r), 0.5 / quantile(of(r), 0.5))
+                failed += [name] * (x is not None and k > x * n + fence * math.sqrt(max(x * n, 1)))
+        base = c[0] < 10 or 100 * c[4] > 20 * c[0]
+        yield not base and not failed, ",".join(failed)
+
+
+def test_verdicts_match_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
+    rng = random.Random(3)
+    rows += [(10_000 + i, " ".join(rng.choice(["a#b", "cd", "efgh", "|", "ij$", "k"]) + str(rng.randrange(50)) for _ in range(rng.randint(1, 90))) + "\n" + "tail\n" * rng.choice([0, 0, 0, 9]), rng.choice(["xx", None]), rng.choice(["s", "t"])) for i in range(150)]
+    rows += [(20_000 + i, "\n".join(f"line {i} {j} of x{i * j}" for j in range(12)) + "\ntail" * (20 * (i % 20 == 7)), "zz", "s") for i in range(40)]
+    want = {r[0]: v for r, v in zip(rows, plain_verdicts(rows), strict=True)}
+    got = {r.doc_id: (r.kept, r.rules) for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got == want
+    assert {"length", "symbols", "lines"} <= {x for _, rules in want.values() for x in rules.split(",")}
+
+
+def test_moving_a_source_moves_its_limit(spark):
+    """A text of one symbol to ten words is ordinary where most are such, and an outlier where none is."""
+    rng = random.Random(12)
+    text = lambda share, n: " ".join(rng.choice(["word", "other", "thing"]) + str(rng.randrange(17)) + "&" * (rng.random() < share) for _ in range(n))
+    rows = [(i, text(0.1, 200), "en", "wiki") for i in range(60)] + [(100 + i, text(0, 200), "en", "news") for i in range(60)]
+    rows += [(900, text(0.1, 200), "en", "wiki"), (901, text(0.1, 200), "en", "news"), (902, text(2, 200), "en", "wiki"), (903, text(2, 200), "en", "news")]
+    got = {r.doc_id: r for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert [got[i].kept for i in (900, 901, 902, 903)] == [True, False, False, False] and "symbols" in got[901].rules
+    assert all(got[i].kept for i, *_ in rows[:120])
+
+
+def test_a_very_long_text(spark):
+    rows = [(i, " ".join(f"w{j * 7919 % 100_003}" for j in range(300_000 if i == 5 else 100)), "en", "s") for i in range(40)]
+    got = {r.doc_id: r for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[5].n_words == 300_000 and all(r.kept == (r.n_repeat_words * 5 <= r.n_words) for r in got.values())
