@@ -143,7 +143,7 @@ def identify(docs: DataFrame, train=None, id_col: str = "doc_id", text_col: str
 
     train: a boolean column over docs that says which rows may be learnt from (null: not); none: all. The machines are fitted
     on `rows` labelled rows at most. lang_pred is a learnt language, or `und` with score 0 if the text is null or has no letter,
-    or if nothing could be learnt. Repeated rows are predicted alike; an empty table gives no rows. Other columns are not read.
+    and null with score 0 if nothing could be learnt. Very long texts are read whole. Repeated rows are predicted alike; an empty table gives no rows. Other columns are not read.
     The model (a weight for each cell and machine) is broadcast; docs are passed once more for prediction, without a shuffle.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, F.lit(True) if train is None else F.coalesce(train, F.lit(False)), id_col, text_col, lang_col, rows))
@@ -152,8 +152,12 @@ def identify(docs: DataFrame, train=None, id_col: str = "doc_id", text_col: str
         m = model.value
         for b in parts(batches, 1):
             texts = as_bytes(b.column(1))
+            known = [i for i, t in enumerate(texts) if has_letter(t)]
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
-            known = [i for i, t in enumerate(texts) if m is not None and has_letter(t)]
+            if m is None:
+                for i in known:
+                    lang[i] = None
+                known = []
             for at in range(0, len(known), 256):
                 some = known[at : at + 256]
                 names, values = m.predict(np.stack([features(texts[i]) for i in some]))
@@ -168,5 +172,5 @@ def identify(docs: DataFrame, train=None, id_col: str = "doc_id", text_col: str
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    r = identify(docs, crc_mod("doc_id", 4) != 2)
+    r = identify(docs, F.coalesce(crc_mod("doc_id", 4) != 2, F.lit(True)))
     return r.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
