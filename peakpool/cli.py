@@ -1,4 +1,4 @@
-"""Command line: map, simulate, plot."""
+"""Command line: map, simulate, plot, vcf2csv, compare."""
 
 from __future__ import annotations
 
@@ -11,9 +11,9 @@ import numpy as np
 from pyspark.sql import SparkSession
 
 from peakpool.operators import facets, simulation
-from peakpool.plans.mapping import map_file
+from peakpool.plans.mapping import map_file, vcf_to_csv
 from peakpool.schema import SMOOTHERS
-from peakpool.sources import sinks, tables
+from peakpool.sources import plots, sinks, tables
 
 
 def parser() -> argparse.ArgumentParser:
@@ -40,6 +40,13 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--s", default="simulated", help="output folder")
     s.add_argument("--base", default="Simulate_data", help="folder of base haplotypes (.npy, one for each chromosome)")
     s.add_argument("--seed", type=int, default=0)
+    v = sub.add_parser("vcf2csv", help="write a VCF's sites as a site table")
+    v.add_argument("--i", required=True)
+    v.add_argument("--o", required=True, help="folder of the table's text parts")
+    c = sub.add_parser("compare", help="compare two result folders")
+    c.add_argument("--a", required=True)
+    c.add_argument("--b", required=True)
+    c.add_argument("--m", required=True, help="method")
     p = sub.add_parser("plot", help="facet tables and significant sites of a plot table")
     p.add_argument("--i", required=True)
     p.add_argument("--o", default="plot")
@@ -61,13 +68,26 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         for name in ("effects", "phenotypes"):
             with open(os.path.join(a.s, f"{name}.json"), "w") as f:
                 json.dump([r.asDict() for r in out[name].toLocalIterator()], f)
+        sinks.write_gametes(base, out["crossovers"], os.path.join(a.s, "gametes"))
         sinks.write_simulated(out["sites"], a.s)
+    elif a.command == "vcf2csv":
+        vcf_to_csv(spark, a.i, a.o)
+    elif a.command == "compare":
+        found = plots.compare_runs(plots.read_run(a.a, a.m), plots.read_run(a.b, a.m))
+        print("\n".join(found) or "equal")
+        if found:
+            raise SystemExit(1)
     else:
         os.makedirs(a.o, exist_ok=True)
         records = tables.read_plot(spark, a.i).cache()
         sinks.write_significant(facets.significant(records.orderBy("ord")), os.path.join(a.o, "qtl_significant_table.csv"))
         sinks.write_significant(facets.facet_ranges(records).orderBy("kind", "name"), os.path.join(a.o, "facet_ranges.csv"))
-        sinks.write_significant(facets.panels(records).orderBy("row", "column"), os.path.join(a.o, "facet_panels.csv"))
+        panels = facets.panels(records).orderBy("row", "column")
+        sinks.write_significant(panels, os.path.join(a.o, "facet_panels.csv"))
+        found = panels.collect()  # one row for each method and chromosome
+        ranges = {(x["kind"], x["name"]): (x["low"], x["high"]) for x in facets.facet_ranges(records).collect()}
+        rows, columns = (list(dict.fromkeys(x[c] for x in sorted(found, key=lambda x: x[k]))) for c, k in (("method", "row"), ("chromosome", "column")))
+        plots.draw(plots.plot_bins(records), ranges, rows, columns, os.path.join(a.o, "facets.svg"))
 
 
 if __name__ == "__main__":

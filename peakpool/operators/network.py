@@ -126,13 +126,16 @@ def convolve(x: np.ndarray, layer: Layer) -> np.ndarray:
 
 
 def find_weights(pools: int, folder: str | None = None) -> bytes:
-    """The weight file for so many pools: from `folder`, else from ./weights."""
+    """The weight file for so many pools: from `folder`; without one, from the first folder that exists of $PEAKPOOL_WEIGHTS,
+    `weights` beside this package, beside its parent folder, and in the working folder."""
     if not 2 <= pools <= 10:
         raise ValueError(f"the network takes 2 to 10 pools, not {pools}")
-    folder = folder or "weights"
-    if not os.path.isdir(folder):
-        raise FileNotFoundError(f"weights folder not found: {folder}")
-    with open(os.path.join(folder, f"{pools}pool.bin"), "rb") as f:
+    own = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    places = [folder] if folder else [os.environ.get("PEAKPOOL_WEIGHTS", ""), os.path.join(own, "weights"), os.path.join(os.path.dirname(own), "weights"), "weights"]
+    found = next((p for p in places if p and os.path.isdir(p)), None)
+    if found is None:
+        raise FileNotFoundError(f"no folder of weights among {[p for p in places if p]}")
+    with open(os.path.join(found, f"{pools}pool.bin"), "rb") as f:
         return f.read()
 
 

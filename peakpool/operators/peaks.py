@@ -41,11 +41,10 @@ def islands(scored: DataFrame, limits: DataFrame) -> DataFrame:
     return found.select("method", "chrom", "chrom_idx", "start", "left", F.col("best.at").alias("peak"), "right", half_even(F.col("best.smooth"), 5).alias("value"))
 
 
-def peak_table(scored: DataFrame, limits: DataFrame, chroms: DataFrame) -> DataFrame:
-    """Peaks of each method with ids by rank: highest value first; ties, and chromosomes without a peak (nulls), from the last
+def peak_table(scored: DataFrame, limits: DataFrame, chroms: DataFrame, methods: list[str]) -> DataFrame:
+    """Peaks of each of the methods (by name, so that the plan needs no job) with ids by rank: highest value first; ties, and chromosomes without a peak (nulls), from the last
     row of the table in chromosome order to the first."""
-    methods = F.transform(F.array(*[F.lit(r["method"]) for r in limits.select("method").orderBy("method").collect()]), lambda m: m)  # seven at most
-    rows = chroms.withColumn("method", F.explode(methods)).join(islands(scored, limits), ["method", "chrom", "chrom_idx"], "left")
+    rows = chroms.withColumn("method", F.explode(F.array(*map(F.lit, methods)))).join(islands(scored, limits), ["method", "chrom", "chrom_idx"], "left")
     rows = rows.withColumn("row", F.row_number().over(Window.partitionBy("method").orderBy("chrom_idx", "start")))
     rank = F.row_number().over(Window.partitionBy("method").orderBy(F.desc_nulls_last("value"), F.desc("row")))
     return rows.select("method", rank.alias("qtl"), "chrom", numeric_key(F.col("chrom")).alias("chr_display"), "left", "peak", "right", "value")

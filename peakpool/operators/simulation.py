@@ -9,6 +9,7 @@ from __future__ import annotations
 from math import pi
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,26 +30,35 @@ def normal(seed: int, *keys: Column) -> Column:
 def base_sites(spark: SparkSession, arrays: list[np.ndarray]) -> DataFrame:
     """(chrom, idx, pos, ref, mut) of base haplotypes, one array of rows [chrom, pos, ref, mut] for each chromosome; idx counts
     a chromosome's sites from 0."""
-    rows = [(int(r[0]), i, float(r[1]), float(r[2]), float(r[3])) for a in arrays for i, r in enumerate(a)]
-    return spark.createDataFrame(rows, "chrom int, idx bigint, pos double, ref double, mut double")
-
-
-def effect_points(base: DataFrame, e: int, seed: int = 0, attempts: int = 2000, candidates: int = 10_000) -> DataFrame:
-    """(chrom, idx, pos, ref, mut) of e sites drawn with replacement, whose positions, chromosomes aside, lie MIN_GAP apart;
-    after each `attempts` draws in vain the gap shrinks by a fifth. Drawn from `candidates` sites that a hash picks."""
-    some = base.orderBy(uniform(seed, F.col("chrom"), F.col("idx"))).limit(max(candidates, e)).collect()
-    if not some or e < 1:
-        return base.limit(0)
-    pos, rng, gap, n = np.array([r["pos"] for r in some]), np.random.default_rng(seed), MIN_GAP, 0
+    tables = [pa.table({"chrom": a[:, 0].astype(np.int32), "idx": np.arange(len(a), dtype=np.int64), "pos": a[:, 1].astype(float), "ref": a[:, 2].astype(float), "mut": a[:, 3].astype(float)}) for a in map(np.asarray, arrays) if len(a)]
+    kind = "chrom int, idx bigint, pos double, ref double, mut double"
+    return spark.createDataFrame(pa.concat_tables(tables), kind) if tables else spark.createDataFrame([], kind)
+
+
+def effect_points(base: DataFrame, e: int, seed: int = 0, attempts: int = 500) -> DataFrame:
+    """(point, chrom, idx, pos, ref, mut) of e sites drawn with replacement from all sites, whose positions, chromosomes aside,
+    lie MIN_GAP apart; after each `attempts` draws in vain the gap shrinks by a fifth. The driver draws (chrom, idx) by the
+    chromosomes' counts; Spark looks up the sites of all attempts at one gap in one join."""
+    spark = base.sparkSession
+    sizes = sorted((r["chrom"], r["n"]) for r in base.groupBy("chrom").agg(F.count("*").alias("n")).collect())
+    if not sizes or e < 1:
+        return spark.createDataFrame([], f"point int, {base.select('chrom', 'idx', 'pos', 'ref', 'mut')._jdf.schema().toDDL()}")
+    names, ends, rng, gap = np.array([c for c, _ in sizes]), np.cumsum([n for _, n in sizes]), np.random.default_rng(seed), MIN_GAP
+    kind = base.schema["chrom"].dataType.simpleString()
     while True:
-        pick = rng.integers(0, len(some), e)
-        n += 1
-        if gap < 1 or (np.diff(np.sort(pos[pick])) >= gap).all():
-            break
-        if n % attempts == 0:
-            gap *= SHRINK
-    rows = sorted((some[i] for i in pick), key=lambda r: r["chrom"])
-    return base.sparkSession.createDataFrame([(k, *r) for k, r in enumerate(rows)], "point int, chrom int, idx bigint, pos double, ref double, mut double")
+        flat = rng.integers(0, ends[-1], (attempts, e))
+        of = np.searchsorted(ends, flat, side="right")
+        idx = flat - np.concatenate([[0], ends])[of]
+        drawn = pa.table({"attempt": np.repeat(np.arange(attempts, dtype=np.int32), e), "chrom": names[of].reshape(-1), "idx": idx.reshape(-1).astype(np.int64)})
+        asked = spark.createDataFrame(drawn, f"attempt int, chrom {kind}, idx bigint")
+        found = base.select("chrom", "idx", "pos", "ref", "mut").join(F.broadcast(asked), ["chrom", "idx"])  # attempts times e rows
+        order = Window.partitionBy("attempt").orderBy("pos", "chrom", "idx")
+        near = found.withColumn("step", F.col("pos") - F.lag("pos").over(order)).groupBy("attempt").agg(F.coalesce(F.min("step"), F.lit(float("inf"))).alias("step"))
+        first = near.where((F.col("step") >= gap) | F.lit(gap < 1)).agg(F.min("attempt").alias("a")).first()["a"]
+        if first is not None:
+            rows = sorted(tuple(r) for r in found.where(F.col("attempt") == int(first)).select("chrom", "idx", "pos", "ref", "mut").collect())
+            return spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], f"point int, chrom {kind}, idx bigint, pos double, ref double, mut double")
+        gap *= SHRINK
 
 
 def crossovers(base: DataFrame, gametes: int, seed: int = 0) -> DataFrame:
@@ -115,7 +125,9 @@ def as_sites(frequencies: DataFrame, n_pools: int) -> DataFrame:
     """The site table of pool frequencies: depths k and 1 - k, alleles I."""
     wide = frequencies.groupBy("chrom", "idx", "pos").pivot("pool", list(range(n_pools))).agg(F.first("k"))
     ref, alt = F.array(*[F.col(f"`{k}`") for k in range(n_pools)]), F.array(*[1 - F.col(f"`{k}`") for k in range(n_pools)])
-    return wide.select(F.col("chrom").cast("string").alias("chrom"), (F.dense_rank().over(Window.orderBy("chrom")) - 1).alias("chrom_idx"), F.col("idx").alias("ord"), "pos", F.lit("I").alias("ref"), F.lit("I").alias("alt"), ref.alias("ref_a"), alt.alias("mut_a"))
+    index = frequencies.select("chrom").distinct().withColumn("chrom_idx", F.row_number().over(Window.orderBy("chrom")) - 1)
+    wide = wide.join(F.broadcast(index), "chrom")  # a row for each chromosome
+    return wide.select(F.col("chrom").cast("string").alias("chrom"), "chrom_idx", F.col("idx").alias("ord"), "pos", F.lit("I").alias("ref"), F.lit("I").alias("alt"), ref.alias("ref_a"), alt.alias("mut_a"))
 
 
 def simulate(base: DataFrame, individuals: int, n_pools: int = 2, ratio: float = 0.25, effects: int = 10, seed: int = 0) -> dict[str, DataFrame]:

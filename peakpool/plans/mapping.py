@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakpool.functions.statistics import statistic
-from peakpool.operators import network, peaks, pretreat, smoothing
+from peakpool.operators import facets, network, peaks, pretreat, smoothing
 from peakpool.schema import METHODS
-from peakpool.sources import sinks, sites, tables
+from peakpool.sources import plots, sinks, sites, tables
 
 
 def parse_methods(spec: str) -> list[str]:
@@ -48,10 +48,30 @@ def run_map(raw_sites: DataFrame, methods: str = "all", p: int = 1, p1: int = 0,
     scored = smoothing.smooth(raw_values(clean, names, n, weights), smoother, w)
     limits = peaks.thresholds(scored, t)
     chroms = pretreat.chromosomes(raw_sites)
-    found = peaks.peak_table(scored, limits, chroms)
+    found = peaks.peak_table(scored, limits, chroms, names)
     return {"chroms": chroms, "clean": clean, "scored": scored, "thresholds": limits, "peaks": found, "profile": peaks.interval_profile(scored, found), "values": peaks.values_table(scored)}
 
 
+def name_kind(path: str) -> str:
+    return path.rsplit("/", 1)[-1].partition(".")[2]
+
+
+def report_skipped(records: DataFrame) -> tuple[int, int]:
+    """(good, skipped) records of a VCF, printed, with the first five skipped ones."""
+    n = records.agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).first()
+    if n["bad"]:
+        first = records.where("not good").orderBy("ord").select("chrom", "ord").limit(5).collect()
+        print(f"skipped {n['bad']} malformed records, the first on: {', '.join(str(r['chrom']) for r in first)}")
+    print(f"read {n['good']} records")
+    return n["good"], n["bad"]
+
+
+def vcf_to_csv(spark: SparkSession, path: str, folder: str) -> tuple[int, int]:
+    """Writes a VCF's sites as a site table (text parts in input order); (good, skipped) records."""
+    sinks.write_site_table(sites.read_vcf(spark, path), folder)
+    return report_skipped(sites.vcf_records(spark, path))
+
+
 def map_file(spark: SparkSession, path: str, out: str, methods: str = "all", p: int = 1, p1: int = 0, p2: int = 1, p3: int = 1, smoother: str = "LOWESS", w: float = 0.0, t: float = 0.0, weights: str | None = None, skip_dl: bool = False) -> str:
     """Runs a site file and writes all result files under out/<name>. The site table is cached under out/cache by the file's
     content, and scored sites are written before they are used five times over."""
@@ -61,10 +81,12 @@ def map_file(spark: SparkSession, path: str, out: str, methods: str = "all", p:
     names = [m for m in parse_methods(methods) if not (skip_dl and m == "DL")]
     net = network.find_weights(pretreat.n_pools(raw), weights) if "DL" in names else None
     run = run_map(raw, ",".join(names), p, p1, p2, p3, smoother, w, t, net)
+    if "vcf" in name_kind(path):
+        report_skipped(sites.vcf_records(spark, path))
     options = {"methods": names, "p": p, "p1": p1, "p3": p3, "smoother": smoother, "w": w, "weights": net}
     scored = tables.cached(spark, os.path.join(out, "cache"), tables.cache_key(spark, path, **options), lambda: run["scored"])
     limits = peaks.thresholds(scored, t).cache()
-    found = peaks.peak_table(scored, limits, run["chroms"]).cache()
+    found = peaks.peak_table(scored, limits, run["chroms"], names).cache()
     folder = os.path.join(out, name)
     os.makedirs(folder, exist_ok=True)
     for r in limits.collect():
@@ -75,4 +97,8 @@ def map_file(spark: SparkSession, path: str, out: str, methods: str = "all", p:
         sinks.write_values(own, os.path.join(folder, f"{m} values.txt"))
         sinks.write_profiles(peaks.interval_profile(own, found.where(F.col("method") == m)), os.path.join(folder, f"{m}_confidence_interval_data.json"))
         sinks.write_arrays(own, run["chroms"], folder, m)
+        records = peaks.plot_records(own, limits)
+        ranges = {(x["kind"], x["name"]): (x["low"], x["high"]) for x in facets.facet_ranges(records).collect()}
+        order = [x["chrom"] for x in run["chroms"].orderBy("chrom_idx").collect() if ("x", x["chrom"]) in ranges]
+        plots.draw(plots.plot_bins(records), ranges, [m], order, os.path.join(folder, f"{title}.svg"))
     return folder

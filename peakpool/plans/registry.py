@@ -6,11 +6,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from peakpool.functions.scalars import flag
 from peakpool.functions.statistics import pools, statistic
 from peakpool.operators import facets, network, peaks, pretreat, simulation, smoothing
 from peakpool.plans import oracle as O
 from peakpool.plans.mapping import raw_values
-from peakpool.sources.sites import pileup
+from peakpool.sources import plots, sinks
+from peakpool.sources.scratch import scratch
+from peakpool.sources.sites import pileup, read_delimited, read_vcf, vcf_records
+from peakpool.sources.tables import read_plot
 
 FORMS = ["K", "ED4", "SNP", "SmoothG", "SmoothLOD", "Ridit"]
 WINDOW, SHARE = 5, 0.1
@@ -41,8 +45,8 @@ def scored(spark: SparkSession, d: str, methods: list[str], w: float = WINDOW, s
 
 
 def peak_rows(spark: SparkSession, d: str, methods: list[str]) -> DataFrame:
-    s = scored(spark, d, methods)
-    return peaks.peak_table(s, peaks.thresholds(s), pretreat.chromosomes(pileup(spark, d)))
+    s = scored(spark, d, methods).persist()  # thresholds and islands both read it
+    return peaks.peak_table(s, peaks.thresholds(s), pretreat.chromosomes(pileup(spark, d)), methods)
 
 
 def chi(spark, d):
@@ -63,15 +67,15 @@ def shown(df: DataFrame) -> DataFrame:
 
 
 def profile(spark, d):
-    s = scored(spark, d, ["SNP"])
-    found = peaks.peak_table(s, peaks.thresholds(s), pretreat.chromosomes(pileup(spark, d)))
+    s = scored(spark, d, ["SNP"]).persist()
+    found = peaks.peak_table(s, peaks.thresholds(s), pretreat.chromosomes(pileup(spark, d)), ["SNP"])
     # positions of the test tables lie 100 kb apart: scaled, so that bins hold some
     near = s.withColumn("pos", F.col("pos") / 50)
     return peaks.interval_profile(near, found.withColumn("peak", F.col("peak") / 50)).select("method", "key", "seq", r6("pos", "pos"), r6("data", "data"), r6("peak", "peak"))
 
 
 def records(spark, d) -> DataFrame:
-    s = scored(spark, d, FORMS)
+    s = scored(spark, d, FORMS).persist()
     return peaks.plot_records(s, peaks.thresholds(s))
 
 
@@ -135,8 +139,36 @@ def auto_span(spark, d):
 
 
 def auto_peaks(spark, d):
-    s = smoothing.smooth(raw(spark, d, FORMS), "LOWESS", 0.0).cache()  # the search for spans is dear, and its result is read twice
-    return shown(peaks.peak_table(s, peaks.thresholds(s), pretreat.chromosomes(pileup(spark, d))))
+    s = smoothing.smooth(raw(spark, d, FORMS), "LOWESS", 0.0).persist()  # the search for spans is dear, and its result is read twice
+    return shown(peaks.peak_table(s, peaks.thresholds(s), pretreat.chromosomes(pileup(spark, d)), FORMS))
+
+
+FLAGS = ["True", "true", "TRUE", "1", "tRUE", "yes", "0", ""]
+
+
+def site_table(spark, d):
+    folder = scratch(spark)
+    sinks.write_site_table(pileup(spark, d), folder)
+    return depths(read_delimited(spark, folder)).select("chrom", "pos", "a0", "m0", "a1", "m1")
+
+
+def vcf(spark, d) -> str:
+    """The test sites as a VCF, every fiftieth record malformed; one file, as its first record is told by its place."""
+    s = depths(pileup(spark, d))
+    whole = lambda c: F.col(c).cast("bigint").cast("string")
+    sample = lambda i: F.concat(F.lit("0/1:"), F.when(F.col("ord") % 50 == 0, F.lit(".")).otherwise(F.concat_ws(",", whole(f"a{i}"), whole(f"m{i}"))), F.lit(":9"))
+    line = F.concat_ws("\t", "chrom", whole("pos"), *map(F.lit, (".", "O", "F", "50", "PASS", ".", "GT:AD:DP")), sample(0), sample(1))
+    rows = s.select("chrom_idx", "ord", line.alias("value")).unionByName(spark.createDataFrame([(-1, 1, "##fileformat=VCFv4.2"), (-1, 2, "#CHROM\tPOS")], "chrom_idx int, ord bigint, value string"))
+    folder = scratch(spark)
+    rows.coalesce(1).sortWithinPartitions("chrom_idx", "ord").select("value").write.text(folder)
+    return folder
+
+
+def plot_table(spark, d):
+    folder = scratch(spark)
+    names = {"method": "Method", "chromosome": "Chromosome", "position": "Position", "position_mb": "Position_Mb", "raw_value": "Raw_Value", "smooth_value": "Smooth_Value", "threshold": "Threshold", "above": "Above_Threshold"}
+    records(spark, d).withColumnsRenamed(names).write.option("header", True).csv(folder)
+    return read_plot(spark, folder).select("method", "chromosome", "position", *[r6(c, c) for c in ("position_mb", "raw_value", "smooth_value")], "threshold", "above")
 
 
 def names_in_order(spark, d):
@@ -170,7 +202,12 @@ def queries() -> dict:
         "confidence_interval": profile,
         "values_export": lambda s, d: peaks.values_table(scored(s, d, ["SNP"])).select("chrom", F.col("rn").cast("bigint").alias("rn"), "position", r6("value", "value")),
         "facet_ranges": lambda s, d: facets.facet_ranges(records(s, d)).select("kind", "name", r6("low", "low"), r6("high", "high")),
-        "significant_table": lambda s, d: facets.significant(records(s, d).withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("raw_value", "smooth_value")})).select("method", "chromosome", "position_bp", "position_mb", "method_threshold", "above_threshold", F.substring("raw_value", 1, 8).alias("raw_start")),
+        "significant_table": lambda s, d: facets.significant(records(s, d).withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("raw_value", "smooth_value")})),
+        "site_table_roundtrip": site_table, "vcf_roundtrip": lambda s, d: depths(read_vcf(s, vcf(s, d))).select("chrom", "chrom_idx", "pos", "a0", "m0", "a1", "m1"),
+        "vcf_counts": lambda s, d: vcf_records(s, vcf(s, d)).groupBy("good").agg(F.count("*").alias("n")),
+        "plot_table_roundtrip": plot_table, "facet_panels": lambda s, d: facets.panels(records(s, d).withColumn("ord", F.array_position(F.array(*map(F.lit, FORMS)), F.col("method")) * 10**12 + F.col("position"))).select("method", "chromosome", F.col("row").cast("bigint").alias("row"), F.col("column").cast("bigint").alias("column"), "n", "threshold"),
+        "plot_bins": lambda s, d: plots.plot_bins(records(s, d), 20).select("method", "chromosome", "bin", *[r6(c, c) for c in ("at", "low", "high", "smooth")], "threshold"),
+        "flags": lambda s, d: s.read.parquet(f"{d}/lineitem.parquet").groupBy(flag(F.element_at(F.array(*map(F.lit, FLAGS)), (F.col("l_partkey") % len(FLAGS) + 1).cast("int"))).alias("flag")).agg(F.count("*").alias("n")),
         "natural_order": names_in_order,
         "dl_conv1x1_window64": lambda s, d: network.network_statistic(clean(s, d), one_layer().write(), 2).select("chrom", "pos", F.round("raw", 4).alias("raw")),
         "dl_autoencoder": lambda s, d: network.network_statistic(clean(s, d), autoencoder().write(), 2).select("chrom", "pos", r6("raw", "raw")),
@@ -205,7 +242,7 @@ def oracle_sql() -> dict[str, str]:
         "threshold_manual": f"{w2} select method, 0.25::double as threshold from ({O.stacked(FORMS)}) group by method",
         "threshold_p90_fallback": f"{w2}, raws as ({O.stacked(['SNP'])}), scored as (select * replace (least(smooth, 0.12) as smooth) from (select *, {O.moving(5)} as smooth from raws)), {O.LIMITS} select method, threshold from limits",
         "natural_order": "with t as (select unnest(['chr' || l_linenumber, 'chr' || (l_suppkey % 40) || '_' || (l_linenumber % 3), lpad(cast(l_suppkey % 12 as varchar), 2, '0')]) as chromosome from lineitem), k as (select distinct chromosome, case when chromosome like 'chr%' then 1 else 0 end as g, cast(regexp_extract(chromosome, '([0-9]+)', 1) as int) as a, coalesce(try_cast(regexp_extract(chromosome, '_([0-9]+)', 1) as int), -1) as b from t) select chromosome, row_number() over (order by g, a, b) as place from k",
-        "dl_conv1x1_window64": f"{w2} select chrom, pos, round(1 / (1 + exp(-(1.5 * f0 - 2.25 * f1 + 0.25))), 4) as raw from kept",
+        "dl_conv1x1_window64": f"{w2} select chrom, pos, round(cast(cast(1 as real) / (cast(1 as real) + cast(exp(-cast(cast(1.5 as real) * cast(f0 as real) + cast(-2.25 as real) * cast(f1 as real) + cast(0.25 as real) as double)) as real)) as double), 4) as raw from kept",
     }
     out |= {f"stat_{m.lower()}": f"{w2} select chrom, pos, {r('raw', 'raw')} from ({O.raw(m)})" for m in FORMS}
     even = "(case when {v} * 1e5 - floor({v} * 1e5) > 0.5 or ({v} * 1e5 - floor({v} * 1e5) = 0.5 and floor({v} * 1e5) % 2 <> 0) then floor({v} * 1e5) + 1 else floor({v} * 1e5) end) / 1e5"
@@ -221,6 +258,16 @@ bins as (select method, chrom, key, mid, -k as seq, mid - k * 1e4 as lo, mid - k
 select b.method, b.key, cast(b.seq as int) as seq, {r('avg(bp)', 'pos')}, {r('avg(smooth)', 'data')}, {r('any_value(mid)', 'peak')} from bins b join bp on bp.chrom = b.chrom and bp.bp > b.lo and bp.bp < b.hi group by b.method, b.key, b.seq""")
     flat = f"{O.scored(FORMS)}, rec as (select method, chrom, pos, pos / 1e6 as mb, raw, smooth, threshold from scored join limits using (method))"
     out["facet_ranges"] = fill(f"{flat} select 'x' as kind, chrom as name, {r('min(mb)', 'low')}, {r('max(mb)', 'high')} from rec group by chrom union all select 'y', method, {r('least(0.0, min(least(raw, smooth)))', 'low')}, {r('max(greatest(raw, smooth, threshold))', 'high')} from rec group by method")
+    sci = lambda e: f"(split_part(printf('%.14e', {e}), 'e', 1) || 'e' || case when cast(split_part(printf('%.14e', {e}), 'e', 2) as int) < 0 then '-' || lpad(cast(-cast(split_part(printf('%.14e', {e}), 'e', 2) as int) as varchar), 2, '0') else lpad(cast(cast(split_part(printf('%.14e', {e}), 'e', 2) as int) as varchar), 3, '0') end)"
+    out["significant_table"] = f"{flat} select method, chrom as chromosome, cast(pos as bigint) as position_bp, printf('%.6f', mb) as position_mb, {sci('round(raw, 6) + 0.0')} as raw_value, {sci('round(smooth, 6) + 0.0')} as fitted_value, printf('%.4f', threshold) as method_threshold, 'TRUE' as above_threshold from rec where smooth >= threshold"
+    out["plot_table_roundtrip"] = f"{flat} select method, chrom as chromosome, cast(pos as bigint) as position, {r('mb', 'position_mb')}, {r('raw', 'raw_value')}, {r('smooth', 'smooth_value')}, threshold, smooth >= threshold as above from rec"
+    out["facet_panels"] = f"{flat} select method, chrom as chromosome, list_position({FORMS!r}, method) as row, dense_rank() over (order by cast(chrom as int)) as column, count(*) as n, max(threshold) as threshold from rec group by method, chrom".replace("as row,", 'as "row",').replace("as column,", 'as "column",')
+    out["plot_bins"] = f"{flat}, e as (select chrom, min(mb) as first, max(mb) as last from rec group by 1), b as (select rec.*, cast(least(19, floor((mb - first) / greatest(last - first, 1e-12) * 20)) as int) as bin from rec join e using (chrom)) select method, chrom as chromosome, bin, {r('avg(mb)', 'at')}, {r('min(raw)', 'low')}, {r('max(raw)', 'high')}, {r('avg(smooth)', 'smooth')}, max(threshold) as threshold from b group by method, chrom, bin"
+    out["site_table_roundtrip"] = f"{w2} select chrom, pos, a0, m0, a1, m1 from sites"
+    read = "not (chrom_idx = 0 and ord = 1)"
+    out["vcf_roundtrip"] = f"{w2} select chrom, chrom_idx, pos, a0, m0, a1, m1 from sites where {read} and ord % 50 <> 0"
+    out["vcf_counts"] = f"{w2} select ord % 50 <> 0 as good, count(*) as n from sites where {read} group by 1"
+    out["flags"] = f"select l_partkey % {len(FLAGS)} < 4 as flag, count(*) as n from lineitem group by 1"
     out["sim_phenotype"] = f"{w2}, {SIM} select couple, {r('phenotype', 'phenotype')} from ph"
     out["sim_pools"] = f"{w2}, {SIM}, rk as (select couple, row_number() over (order by round(phenotype, 6), couple) - 1 as rn from ph), mem as (select 0 as pool, couple from rk where rn < 10 union all select 1, couple from rk where rn >= 14 and rn < 24 union all select 2, couple from rk where rn >= 30), st as (select pool, chrom, points, strand from mem join pairs using (couple) join cr using (file)) select s.chrom_idx + 1 as chrom, s.ord - 1 as idx, pool, {r('sum((len(list_filter(points, lambda p: p <= s.ord - 1)) + strand) % 2) / 26.0', 'k')} from sites s join st on st.chrom = s.chrom_idx + 1 group by 1, 2, 3"
     return out

@@ -5,8 +5,10 @@ from __future__ import annotations
 import csv
 import json
 import os
+import tempfile
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,17 +50,60 @@ def write_profiles(profile: DataFrame, path: str) -> None:
 
 def write_arrays(scored: DataFrame, chroms: DataFrame, folder: str, method: str) -> None:
     """The numpy files of one method: all raw values, and raw and smoothed values by chromosome, empty ones included. They are
-    single files by their nature, so that the values pass through the driver, one chromosome at a time."""
-    rows: dict[int, tuple[list[float], list[float]]] = {r["chrom_idx"]: ([], []) for r in chroms.orderBy("chrom_idx").collect()}
-    for r in by_position(scored).select("chrom_idx", "rn", "raw", "smooth").orderBy("chrom_idx", "rn").toLocalIterator():
-        rows[r["chrom_idx"]][0].append(r["raw"])
-        rows[r["chrom_idx"]][1].append(r["smooth"])
-    np.save(os.path.join(folder, f"all_data_for_percentile_{method}.npy"), np.array([v for k in sorted(rows) for v in rows[k][0]]))
-    for side, name in enumerate(("all_data_for_plot", "smooth_data_for_plot")):
-        ragged = np.empty(len(rows), object)
-        for i, k in enumerate(sorted(rows)):
-            ragged[i] = np.array(rows[k][side])
-        np.save(os.path.join(folder, f"{name}_{method}.npy"), ragged, allow_pickle=True)
+    single files by their nature, so that the values pass through the driver, 16 bytes a site: they lie in files that are mapped
+    to memory until the last is written."""
+    sizes = {r["chrom_idx"]: r["n"] for r in scored.groupBy("chrom_idx").agg(F.count("*").alias("n")).collect()}
+    order = [r["chrom_idx"] for r in chroms.orderBy("chrom_idx").collect()]
+    total = sum(sizes.values())
+    raw = np.lib.format.open_memmap(os.path.join(folder, f"all_data_for_percentile_{method}.npy"), "w+", np.float64, (total,))
+    with tempfile.TemporaryFile() as spare:
+        smooth = np.memmap(spare, np.float64, "w+", shape=(total,)) if total else np.empty(0)
+        for at, r in enumerate(by_position(scored).select("chrom_idx", "rn", "raw", "smooth").orderBy("chrom_idx", "rn").toLocalIterator()):
+            raw[at], smooth[at] = r["raw"], r["smooth"]
+        ends = np.cumsum([sizes.get(k, 0) for k in order])
+        for values, name in ((raw, "all_data_for_plot"), (smooth, "smooth_data_for_plot")):
+            ragged = np.empty(len(order), object)
+            for i, k in enumerate(order):
+                ragged[i] = np.array(values[ends[i] - sizes.get(k, 0) : ends[i]])
+            np.save(os.path.join(folder, f"{name}_{method}.npy"), ragged, allow_pickle=True)
+    raw.flush()
+
+
+def write_matrix(rows: DataFrame, columns: list[str], path: str) -> None:
+    """Columns of a table in its own order as a two-dimensional numpy file."""
+    out = np.lib.format.open_memmap(path, "w+", np.float64, (rows.count(), len(columns)))
+    for at, r in enumerate(rows.select(*columns).toLocalIterator()):
+        out[at] = list(r)
+    out.flush()
+
+
+def write_gametes(base: DataFrame, crosses: DataFrame, folder: str) -> None:
+    """Each gamete's two strands as a file <number>.bin: their length (64 bits), the first strand's values, the second's. base:
+    (chrom, idx, ref, mut); crosses: (file, chrom, points). Executors write; the folder is one that they share. A strand starts
+    as its own haplotype and swaps with the other at each point."""
+    os.makedirs(folder, exist_ok=True)
+    swapped = F.size(F.filter("points", lambda p: p <= F.col("idx"))) % 2 == 1
+    rows = base.join(crosses, "chrom").select("file", "chrom", "idx", F.when(swapped, F.col("mut")).otherwise(F.col("ref")).alias("a"), F.when(swapped, F.col("ref")).otherwise(F.col("mut")).alias("b"))
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("chrom", "ascending"), ("idx", "ascending")])
+        name = t.column("file")[0].as_py()
+        with open(os.path.join(folder, f"{name}.bin.part"), "wb") as f:
+            f.write(np.array([len(t)], "<u8").tobytes() + t.column("a").to_numpy().astype("<f8").tobytes() + t.column("b").to_numpy().astype("<f8").tobytes())
+        os.replace(os.path.join(folder, f"{name}.bin.part"), os.path.join(folder, f"{name}.bin"))  # a task that runs again writes the same
+        return pa.table({"file": pa.array([name], pa.int32())})
+
+    rows.groupBy("file").applyInArrow(run, "file int").count()
+
+
+def read_gamete(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The two strands of a gamete's file."""
+    with open(path, "rb") as f:
+        n = int(np.frombuffer(f.read(8), "<u8")[0])
+        values = np.frombuffer(f.read(), "<f8")
+    if len(values) != 2 * n:
+        raise ValueError(f"{path} is cut off")
+    return values[:n], values[n:]
 
 
 def write_significant(table: DataFrame, path: str) -> None:

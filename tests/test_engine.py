@@ -168,7 +168,7 @@ def test_peaks_and_ids(spark):
     s = scored(spark, [0, 0.5, 0.9, 0.4, 0, 0, 0.7, 0.2], [0.1, 0.2], [0.9, 0.9, 0])
     limits = peaks.thresholds(s, 0.3)
     chroms = spark.createDataFrame([("0", 0), ("1", 1), ("2", 2), ("x", 3)], "chrom string, chrom_idx int")
-    got = values(peaks.peak_table(s, limits, chroms).orderBy("qtl"), "qtl", "chr_display", "left", "peak", "right", "value")
+    got = values(peaks.peak_table(s, limits, chroms, ["SNP"]).orderBy("qtl"), "qtl", "chr_display", "left", "peak", "right", "value")
     assert got == [(1, "2.0", 0.0, 0.0, 0.001, 0.9), (2, "0.0", 0.001, 0.002, 0.003, 0.9), (3, "0.0", 0.006, 0.006, 0.006, 0.7), (4, "x", None, None, None, None), (5, "1.0", None, None, None, None)]
 
 
@@ -384,3 +384,69 @@ def test_command_line(spark, tmp_path, monkeypatch):
     (tmp_path / "p.csv").write_text("Method,Chromosome,Position,Raw_Value,Smooth_Value,Threshold,Above_Threshold\nK,1,15,0.5,0.4,0.3,TRUE\n")
     main(["plot", "--i", str(tmp_path / "p.csv"), "--o", str(tmp_path / "plot")], spark)
     assert open(tmp_path / "plot" / "qtl_significant_table.csv").readlines()[1].startswith("K,1,15,0.000015,5.00000000000000e-01,")
+
+
+def test_vcf_command_counts_and_writes(spark, tmp_path, capsys):
+    from peakpool.cli import main
+
+    (tmp_path / "a.vcf").write_text(VCF)
+    main(["vcf2csv", "--i", str(tmp_path / "a.vcf"), "--o", str(tmp_path / "out")], spark)
+    text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
+    assert text.splitlines() == ["1,206542,G,A,64,87,49,45", "2,10,G,A,C,1,2,3,4"]
+    said = capsys.readouterr().out
+    assert "skipped 5 malformed records" in said and "read 2 records" in said
+
+
+def test_gametes_matrix_and_weights(spark, tmp_path, monkeypatch):
+    from peakpool.sources import sinks
+
+    base = simulation.base_sites(spark, [np.array([[c, p, p / 10, p / 10 + 5] for p in range(8)]) for c in (1, 2)])
+    crosses = spark.createDataFrame([(1, 1, [3, 6]), (1, 2, []), (2, 1, [0]), (2, 2, [4, 4])], "file int, chrom int, points array<bigint>")
+    sinks.write_gametes(base, crosses, str(tmp_path / "g"))
+    own, other = np.arange(8) / 10, np.arange(8) / 10 + 5
+    a, b = sinks.read_gamete(str(tmp_path / "g" / "1.bin"))
+    swapped = np.isin(np.arange(8), [3, 4, 5])
+    assert np.array_equal(a, [*np.where(swapped, other, own), *own]) and np.array_equal(b, [*np.where(swapped, own, other), *other])
+    assert np.array_equal(sinks.read_gamete(str(tmp_path / "g" / "2.bin"))[0], [*other, *own])
+    sinks.write_matrix(base.orderBy("chrom", "idx"), ["chrom", "pos", "ref", "mut"], str(tmp_path / "m.npy"))
+    assert np.load(tmp_path / "m.npy").shape == (16, 4) and np.load(tmp_path / "m.npy")[9].tolist() == [2, 1, 0.1, 5.1]
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "2pool.bin").write_bytes(b"x")
+    monkeypatch.setenv("PEAKPOOL_WEIGHTS", str(tmp_path / "w"))
+    assert network.find_weights(2) == b"x"
+    with pytest.raises(FileNotFoundError):
+        network.find_weights(2, str(tmp_path / "none"))
+
+
+def test_any_site_can_be_an_effect_point(spark):
+    base = simulation.base_sites(spark, [np.array([[c, p * 1e6, 0, 1] for p in range(50)]) for c in (1, 2)])
+    drawn = {(r.chrom, r.idx) for seed in range(12) for r in simulation.effect_points(base, 12, seed, attempts=40).collect()}
+    assert len(drawn) > 60  # of 100
+    assert simulation.effect_points(base.limit(0), 3).count() == simulation.effect_points(base, 0).count() == 0
+
+
+def test_plots_and_run_comparison(spark, tmp_path):
+    from peakpool.sources import plots
+
+    assert plots.ticks(0, 10) == [0, 2, 4, 6, 8, 10] and plots.ticks(3, 3) == [3] and plots.ticks(0.0, 0.3)[1] == 0.1
+    assert [plots.tick_label(x) for x in (0.0, 2.0, 0.25, 1e8)] == ["0", "2", "0.25", "1e+08"]
+    run = {"threshold": "0.3", "values": [("1", 5, 0.5), ("1", 9, 0.25)], "peaks": [("1.0", 0.7)]}
+    assert plots.compare_runs(run, run) == []
+    other = {"threshold": "0.4", "values": [("1", 5, 0.5), ("1", 9, 0.26)], "peaks": [("1.0", 0.8)]}
+    assert len(plots.compare_runs(run, other)) == 3
+
+
+def test_plain_sql_gives_the_same_rows(spark):
+    """The queries that write and read again, on the smallest tables."""
+    import duckdb
+
+    from peakpool.plans import registry
+
+    d, sql, con = "/root/testdata/sf0.001", registry.oracle_sql(), duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{d}/lineitem.parquet'")
+    for name in ("site_table_roundtrip", "vcf_roundtrip", "vcf_counts", "plot_table_roundtrip", "facet_panels", "plot_bins", "significant_table", "flags", "dl_conv1x1_window64"):
+        got = registry.queries()[name](spark, d)
+        want = con.execute(sql[name])
+        columns = [c[0] for c in want.description]
+        assert sorted(columns) == sorted(got.columns), name
+        assert sorted(map(repr, map(tuple, got.select(columns).collect()))) == sorted(map(repr, want.fetchall())), name
