@@ -11,13 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakpool.llm.common import as_bytes, handed, handed_on, parts, table
+from peakpool.llm.common import as_bytes, handed, handed_on, parts, table, trim
 
 #: Bytes that are part of a word: digits, A-Z (lower-cased), a-z and all of non-ASCII characters; others become a space.
 WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-#: The automaton is broadcast: a benchmark of more text than this is refused.
-MAX_BENCHMARK_BYTES = 64 << 20
+#: Bytes of text in one automaton, but for an item that is longer by itself; an automaton takes about 130 bytes of memory for
+#: each of them. A larger benchmark has several, of which a task holds one at a time.
+AUTOMATON_BYTES = 2 << 20
+#: The benchmark's texts pass through the driver: more is refused.
+MAX_BENCHMARK_BYTES = 256 << 20
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -142,17 +145,36 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[last:]])
 
 
-def automaton(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = 8):
-    """The benchmark's automaton, broadcast. Its size is checked first; it is linear in the benchmark's words."""
+def merged(found: list[tuple[int, list[tuple[int, int]], set[str]]]) -> tuple[int, list[tuple[int, int]], set[str]]:
+    """match() of several automata as one: runs that overlap or meet become one."""
+    spans: list[tuple[int, int]] = []
+    for lo, hi in sorted(s for _, own, _ in found for s in own):
+        if spans and lo <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(spans[-1][1], hi))
+        else:
+            spans.append((lo, hi))
+    return found[0][0], spans, set().union(*(items for _, _, items in found))
+
+
+def automata(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = 8, most: int = AUTOMATON_BYTES) -> list:
+    """The benchmark's automata, each of items with `most` bytes of text, broadcast one by one."""
     spark = benchmark.sparkSession
     size = benchmark.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
     if size > MAX_BENCHMARK_BYTES:
         raise ValueError(f"the benchmark has {size} bytes of text; at most {MAX_BENCHMARK_BYTES} can be broadcast")
     rows = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string"), F.col(text_col).cast("binary")).distinct().collect()
-    return spark.sparkContext.broadcast(Automaton(sorted((r[0], bytes(r[1]) if r[1] is not None else b"") for r in rows), window))
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 8, min_items: int = 2, max_coverage: float = 0.5, carry: list[str] | None = None) -> DataFrame:
+    items = sorted((r[0], bytes(r[1]) if r[1] is not None else b"") for r in rows)
+    out, part, size = [], [], 0
+    for item in items:
+        if part and size + len(item[1]) > most:
+            out.append(spark.sparkContext.broadcast(Automaton(part, window)))
+            part, size = [], 0
+        part.append(item)
+        size += len(item[1])
+    return [*out, spark.sparkContext.broadcast(Automaton(part, window))]
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 8, min_items: int = 2, max_coverage: float = 0.5, carry: list[str] | None = None, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """One row per row of docs: id, n_words, n_hit, items (sorted item ids as text), contaminated, drop, cleaned_text; carry:
     columns to be handed on in a struct `carry`.
 
@@ -160,16 +182,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     of a window is hit. contaminated: windows of min_items items or more occur. cleaned_text is the text without hit words;
     drop says that the text is contaminated or that over max_coverage of its words are hit. Null and empty texts have no
     words (cleaned_text keeps a null), items that are null or have a null id have no windows, repeated rows are judged alike,
-    empty tables give no rows or no hits. Other columns of docs are not read. One pass over docs, no shuffle.
+    very long texts are searched whole, empty tables give no rows or no hits. Other columns of docs are not read. One pass over docs, no shuffle.
     """
-    shared = automaton(benchmark, item_col, text_col, window)
+    shared = automata(benchmark, item_col, text_col, window, automaton_bytes)
+
+    def matches(texts):
+        """match() of each text. Of several automata one is read at a time, and none is kept."""
+        if len(shared) == 1:
+            return map(shared[0].value.match, texts)
+        found = [[] for _ in texts]
+        for s in shared:
+            a = s.load_from_path(s._path) if s._path else s.value
+            for own, t in zip(found, texts, strict=True):
+                own.append(a.match(t))
+            del a
+            trim()
+        return map(merged, found)
 
     def run(batches):
-        a = shared.value
-        for b in parts(batches, 1):
-            ids, out = b.column(0), []
-            for t in as_bytes(b.column(1)):
-                n, spans, items = a.match(t)
+        for b in parts(batches, 1, 4 << 20 if len(shared) == 1 else 32 << 20):
+            ids, out, texts = b.column(0), [], as_bytes(b.column(1))
+            for t, (n, spans, items) in zip(texts, matches(texts), strict=True):
                 hit = sum(hi - lo for lo, hi in spans)
                 out.append((n, hit, sorted(items), len(items) >= min_items, len(items) >= min_items or hit > max_coverage * n, without(t, spans) if spans else t))
             cols = list(zip(*out, strict=True)) if out else [[]] * 6

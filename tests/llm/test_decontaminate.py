@@ -67,3 +67,15 @@ def test_query_matches_brute_force(spark):
                     hit.update(range(i, i + n))
                     found |= windows[tuple(w[i : i + n])]
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (len(w), len(hit), len(found), D.item_digest(found), len(found) >= 2)
+
+
+def test_several_automata_find_what_one_does(spark):
+    rng = random.Random(8)
+    items = [(i, " ".join(rng.choice("abcdef") for _ in range(rng.randint(1, 14)))) for i in range(40)]
+    texts = [(i, " ".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 90)))) for i in range(40)] + [(40, "a b c d e f " * 60_000)]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one, many = ({r.doc_id: r for r in D.decontaminate(docs, bench, automaton_bytes=n).collect()} for n in (1 << 20, 60))
+    assert one == many and sum(r.n_hit for r in one.values()) > 0
+    for i, t in texts[:40]:
+        n, hit, found = brute(t, [(str(k), x) for k, x in items])
+        assert (many[i].n_words, many[i].n_hit, many[i]["items"]) == (n, len(hit), sorted(found))
