@@ -14,8 +14,10 @@ NO_CHARS = bytes([0x20, *range(0x09, 0x0E), *range(0x80, 0xC0)])
 SYMBOLS = b"#*$%&|<>"
 #: A sketch's bins grow by this factor: quantiles are right to one per cent.
 GAMMA = 1.02
-#: Thresholds of so many groups at most are broadcast; more are joined by a shuffle.
+#: Tables of so many groups at most are broadcast; larger ones are joined by a shuffle.
 BROADCAST_GROUPS = 10_000
+#: What a sketch belongs to; levels() sets the first.
+KEY = ["level", "lang", "source", "metric"]
 WINDOW = 5
 
 
@@ -75,46 +77,54 @@ def middle(bin_: Column) -> Column:
     return F.when(bin_.isNull(), F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), bin_) * F.lit(2 / (1 + GAMMA)))
 
 
-def pooled(sketch: DataFrame, least: int) -> DataFrame:
-    """(lang, source, metric, bin, n) of each language and source: their own sketch if it holds `least` texts, else the merged one of
-    the language, else that of all texts."""
-    keys = ["lang", "source", "metric"]
-    of = lambda level: sketch.groupBy(*keys[:level], "metric").agg(F.sum("n").alias("total"))
-    same = lambda a, b, names: F.expr(" and ".join(f"{a}.{c} <=> {b}.{c}" for c in names))
-    groups = sketch.groupBy(*keys).agg(F.sum("n").alias("own")).alias("g").join(F.broadcast(of(1).alias("l")), same("g", "l", ["lang", "metric"]))  # a row for each language and metric
-    groups = groups.select("g.*", F.when(F.col("own") >= least, 2).when(F.col("total") >= least, 1).otherwise(0).alias("level"))
-    merged = [sketch.groupBy("metric", "bin").agg(F.sum("n").alias("n")), sketch.groupBy("lang", "metric", "bin").agg(F.sum("n").alias("n")), sketch]
-    parts = []
-    for level, m in enumerate(merged):
-        mine = groups.where(F.col("level") == level).drop("own", "level").alias("g")
-        parts.append(mine.join(m.alias("m"), same("g", "m", [*keys[:level], "metric"])).select("g.*", "m.bin", "m.n"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+def same(a: str, b: str, names: list[str]) -> Column:
+    return F.expr(" and ".join(f"{a}.{c} <=> {b}.{c}" for c in names))
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, broadcast if it has BROADCAST_GROUPS rows at most."""
+    return F.broadcast(df) if df.count() <= BROADCAST_GROUPS else df
+
+
+def levels(sketch: DataFrame) -> DataFrame:
+    """(level, lang, source, metric, bin, n): the sketches of each language and source (level 2), merged ones of each language (1),
+    and that of all texts (0). Three times the sketches' rows at most, whatever the number of groups."""
+    rows = sketch.withColumn("level", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    lang, source = F.when(F.col("level") > 0, F.col("lang")), F.when(F.col("level") > 1, F.col("source"))
+    return rows.groupBy("level", lang.alias("lang"), source.alias("source"), "metric", "bin").agg(F.sum("n").alias("n"))
+
+
+def chosen(values: DataFrame, least: int) -> DataFrame:
+    """(lang, source, metric, values) of each language and source, from what each level's sketches gave: their own if those hold
+    `least` texts, else the language's, else those of all texts."""
+    own, lang, every = (values.where(F.col("level") == k).alias(a) for k, a in ((2, "own"), (1, "lang"), (0, "every")))
+    rows = own.join(bounded(lang), same("own", "lang", ["lang", "metric"])).join(F.broadcast(every), same("own", "every", ["metric"]))  # a row for each metric
+    pick = lambda c: F.when(F.col("own.total") >= least, F.col(f"own.{c}")).when(F.col("lang.total") >= least, F.col(f"lang.{c}")).otherwise(F.col(f"every.{c}"))
+    return rows.select("own.lang", "own.source", "own.metric", *[pick(c).alias(c) for c in values.columns if c not in (*KEY, "total")])
 
 
 def quantiles(sketch: DataFrame, at: dict[str, float]) -> DataFrame:
-    """(lang, source, metric, one column for each of at): the sketches' quantiles, by the bins' middles."""
-    w = Window.partitionBy("lang", "source", "metric")
+    """(the sketch's key, total, one column for each of at): the sketches' quantiles, by the bins' middles."""
+    key = [c for c in KEY if c in sketch.columns]
+    w = Window.partitionBy(*key)
     run = sketch.withColumns({"below": F.sum("n").over(w.orderBy(F.col("bin").asc_nulls_first())), "total": F.sum("n").over(w)})
-    return run.groupBy("lang", "source", "metric").agg(*[F.min(F.when(F.col("below") >= F.col("total") * F.lit(q), middle(F.col("bin")))).alias(name) for name, q in at.items()])
+    return run.groupBy(*key).agg(F.max("total").alias("total"), *[F.min(F.when(F.col("below") >= F.col("total") * F.lit(q), middle(F.col("bin")))).alias(name) for name, q in at.items()])
 
 
 def breaks(sketch: DataFrame, zero: DataFrame, factor: float, above: float) -> DataFrame:
-    """(lang, source, metric, limit): where a sketch breaks off. Of neighbouring bins that hold texts, the first above the
+    """(the sketch's key, total, limit): where a sketch breaks off. Of neighbouring bins that hold texts, the first above the
     quantile `above` whose next one is `factor` times as high; the limit is their geometric mean. Null if there is none: then
-    the group is one population. zero: (lang, source, metric, zero), the rate that no occurrence stands for."""
-    key = ["lang", "source", "metric"]
-    w = Window.partitionBy(*key)
-    rows = sketch.alias("s").join(F.broadcast(zero).alias("z"), F.expr(" and ".join(f"s.{c} <=> z.{c}" for c in key))).select("s.*", "zero")
+    the group is one population. zero: (the sketch's key, zero), the rate that no occurrence stands for."""
+    w = Window.partitionBy(*KEY)
+    rows = sketch.alias("s").join(bounded(zero).alias("z"), same("s", "z", KEY)).select("s.*", "zero")
     rows = rows.withColumn("value", F.greatest(middle(F.col("bin")), F.col("zero")))
     run = rows.withColumns({"below": F.sum("n").over(w.orderBy(F.col("bin").asc_nulls_first())), "total": F.sum("n").over(w), "next": F.lead("value").over(w.orderBy(F.col("bin").asc_nulls_first()))})
     broken = (F.col("below") >= F.col("total") * F.lit(above)) & (F.col("next") >= F.col("value") * F.lit(factor))
-    return run.groupBy(*key).agg(F.min(F.when(broken, F.sqrt(F.col("value") * F.col("next")))).alias("limit"))
+    return run.groupBy(*KEY).agg(F.max("total").alias("total"), F.min(F.when(broken, F.sqrt(F.col("value") * F.col("next")))).alias("limit"))
 
 
 def with_limits(m: DataFrame, limits: DataFrame) -> DataFrame:
     """m with the columns that limits holds for each language and source."""
-    if limits.count() <= BROADCAST_GROUPS:
-        limits = F.broadcast(limits)
     limits = limits.withColumnsRenamed({"lang": "lang_", "source": "source_"})
     return m.join(limits, F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_")), "left").drop("lang_", "source_")
 
@@ -124,7 +134,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     of length, symbols and lines that the text fails, comma-joined).
 
     base_failed: fewer than 10 words, or over a fifth of them in repeated windows. Of the others, kept is false if the text fails
-    one of three rules, whose limits all come from the sketches of its language and source (pooled() says which, if they hold
+    one of three rules, whose limits all come from the sketches of its language and source (chosen() says which, if they hold
     fewer than `least` texts):
     length: the mean word length lies beyond the group's middle half by over `fence` times its width and `fence` sampling
     errors; one is the upper quartile of the group's |length - median| sqrt(n_words), over sqrt(n_words).
@@ -138,18 +148,19 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     m = written(measured(docs, id_col, text_col, lang_col, source_col))
     stacked = m.where("n_words > 0").select("lang", "source", F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.expr(e).cast("double").alias("value")) for k, e in RATES.items()])).alias("x")).select("lang", "source", "x.*")
-    own = written(pooled(written(sketches(stacked)), least))
+    own = written(levels(sketches(stacked)))
     q = written(quantiles(own, {"low": 0.25, "mid": 0.5, "high": 0.75}))
-    length = q.where("metric = 'length'").drop("metric").withColumnsRenamed({c: f"length_{c}" for c in ("low", "mid", "high")})
+    length = written(chosen(q.where("metric = 'length'"), least).drop("metric").withColumnsRenamed({c: f"length_{c}" for c in ("low", "mid", "high")}))
     zero = q.where(F.col("metric").isin([x[2] for x in COUNTED.values()]))
     named = F.create_map(*[F.lit(y) for k, x in COUNTED.items() for y in (x[2], k)])
-    zero = zero.select("lang", "source", named[F.col("metric")].alias("metric"), (0.5 / F.col("mid")).alias("zero"))
-    limits = breaks(own.where(F.col("metric").isin(list(COUNTED))), zero, factor, 0.75).groupBy("lang", "source").pivot("metric", list(COUNTED)).agg(F.first("limit"))
+    zero = zero.select("level", "lang", "source", named[F.col("metric")].alias("metric"), (0.5 / F.col("mid")).alias("zero"))
+    limits = written(breaks(own.where(F.col("metric").isin(list(COUNTED))), zero, factor, 0.75))
+    limits = chosen(limits, least).groupBy("lang", "source").pivot("metric", list(COUNTED)).agg(F.first("limit"))
     n_words = F.greatest("n_words", F.lit(1))
     mean = F.expr("word_chars / nullif(n_words, 0)")
-    spread = with_limits(m.where("n_words > 0"), length).select("lang", "source", F.lit("spread").alias("metric"), (F.abs(mean - F.col("length_mid")) * F.sqrt(n_words)).alias("value"))
-    spread = quantiles(pooled(written(sketches(spread)), least), {"spread": 0.75}).drop("metric")
-    j = with_limits(with_limits(with_limits(m, length), written(limits)), written(spread))
+    spread = with_limits(m.where("n_words > 0"), bounded(length)).select("lang", "source", F.lit("spread").alias("metric"), (F.abs(mean - F.col("length_mid")) * F.sqrt(n_words)).alias("value"))
+    spread = chosen(written(quantiles(levels(sketches(spread)), {"spread": 0.75})), least).drop("metric")
+    j = with_limits(m, bounded(written(with_limits(with_limits(length, limits), spread))))  # one join with the texts, by a shuffle if groups are many
     beside = F.lit(fence) * (F.col("length_high") - F.col("length_low") + F.col("spread") / F.sqrt(n_words))
     most = lambda k, n: F.col(k) * F.col(n) + F.lit(fence) * F.sqrt(F.greatest(F.col(k) * F.col(n), F.lit(1.0)))
     failed = {"length": ~mean.between(F.col("length_low") - beside, F.col("length_high") + beside)} | {k: F.col(x[0]) > most(k, x[1]) for k, x in COUNTED.items()}

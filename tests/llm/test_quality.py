@@ -159,3 +159,14 @@ def test_a_very_long_text(spark):
     rows = [(i, " ".join(f"w{j * 7919 % 100_003}" for j in range(300_000 if i == 5 else 100)), "en", "s") for i in range(40)]
     got = {r.doc_id: r for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert got[5].n_words == 300_000 and all(r.kept == (r.n_repeat_words * 5 <= r.n_words) for r in got.values())
+
+
+def test_many_groups_are_joined_by_a_shuffle(spark, monkeypatch):
+    rng = random.Random(4)
+    text = lambda: " ".join(rng.choice(["ab", "cde", "fg&", "h|"]) + str(rng.randrange(40)) for _ in range(rng.randint(5, 60)))
+    rows = [(i, text(), rng.choice(["en", "de", None]), rng.choice(["s", "t", None, f"only{i}"])) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    few = sorted(map(repr, Q.judge(df).collect()))
+    monkeypatch.setattr(Q, "BROADCAST_GROUPS", 0)
+    assert sorted(map(repr, Q.judge(df).collect())) == few
+    assert [(r[0], (r.kept, r.rules)) for r in sorted(Q.judge(df).collect())] == [(r[0], v) for r, v in zip(rows, plain_verdicts(rows), strict=True)]
