@@ -115,6 +115,14 @@ def classes(doc, th, pos, key, ctx):
     return order, new_key, new_key | np.concatenate([[True], c[1:] != c[:-1]]) if len(k) else new_key
 
 
+def firsts(doc, th, pos, key, ctx) -> tuple[np.ndarray, np.ndarray]:
+    """(the first anchor of each key and context, the others, whose windows all start earlier too)."""
+    if not len(key):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    order, _, new_ctx = classes(doc, th, pos, key, ctx)
+    return order[new_ctx], order[~new_ctx]
+
+
 def suffixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(suffix array by the first `length` symbols at least, first seven symbols packed) of a text of symbols below 512; the
     end is padded with zeros."""
@@ -270,7 +278,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows. Other columns are not read.
 
     1. Each window's anchor (the gram with the least hash) deals windows out by content. Anchors whose hash occurs once have no
-       repeated window; where anchors of one hash have the same whole context, all but the first are repeated in full.
+       repeated window; where anchors of one hash have the same whole context, all but the first are repeated in full. That is
+       told in each run of texts first, so that of a common passage a run sends one anchor for each different context to the
+       hash's bucket, and the others to their documents.
     2. The other anchors' contexts, one for each different context, are sent to their hash's bucket, where a Burrows-Wheeler
        transform of all contexts gives the classes of equal windows; all but the first of a class are repeated.
     3. What is repeated is sent to its document and cut out there.
@@ -295,12 +305,17 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             for first, group in text_groups(texts, 1 << 23):
                 no, pos, key, ctx, back, fore = find_anchors(group, length, part)
                 no += first
-                rows = [(to, pack(doc[i], th[i], p.astype(np.int32), k, c, x.astype(np.uint16), y.astype(np.uint16))) for to, i, p, k, c, x, y in dealt((key % np.uint64(n)).astype(np.int32), no, pos, key, ctx, back, fore)]
+                lead, late = firsts(doc[no], th[no], pos, key, ctx)
+                rows = [(to, pack(doc[i], th[i], p.astype(np.int32), k, c, x.astype(np.uint16), y.astype(np.uint16))) for to, i, p, k, c, x, y in dealt((key[lead] % np.uint64(n)).astype(np.int32), no[lead], pos[lead], key[lead], ctx[lead], back[lead], fore[lead])]
+                d = doc[no[late]]
+                rows += [(n + to, pack(*x)) for to, *x in dealt(spread(d, n), d, th[no[late]], pos[late].astype(np.int32), back[late].astype(np.uint16), fore[late].astype(np.uint16), key[late], np.zeros(len(late), np.int8))]
                 if rows:
                     yield cells(rows).to_batches()[0]
 
     def classify(t: pa.Table) -> pa.Table:
         trim()
+        if (to := t.column("to")[0].as_py()) >= n:  # settled where they were found
+            return t.set_column(0, "to", pa.array(np.full(len(t), to - n, np.int32)))
         doc, th, pos, key, ctx, back, fore = joined(t.column("payload").to_pylist())
         order, new_key, new_ctx = classes(doc, th, pos, key, ctx)
         k = np.cumsum(new_key) - 1

@@ -84,6 +84,21 @@ def test_a_long_text_in_parts():
     assert set(pos) == set(whole[1])
 
 
+def test_copies_send_one_anchor_for_each_context(spark):
+    rng = random.Random(5)
+    t = "".join(rng.choice("abcdefgh ") for _ in range(700))
+    alone = S.find_anchors([t.encode()], 100)
+    no, pos, key, ctx, _, _ = S.find_anchors([t.encode()] * 300, 100)
+    lead, late = S.firsts(no, no * 0, pos, key, ctx)
+    assert sorted(pos[lead]) == sorted(alone[1]) and set(no[lead]) == {0}
+    assert len(lead) + len(late) == len(pos) and 0 not in no[late]
+    none = np.empty(0, np.int64)
+    assert [len(x) for x in S.firsts(none, none, none, none, none)] == [0, 0]
+    rows = [(i // 2, t[: 150 + 25 * (i % 20)]) for i in range(400)]  # copies and repeated ids, met in any order by many tasks
+    got = S.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(23)).groupBy("n_removed", "n_bytes").count().collect()
+    assert sum(r["count"] for r in got) == 400 and sum(r["count"] * (r.n_bytes - r.n_removed) for r in got) in range(625, 700)
+
+
 def test_odd_rows(spark):
     rng = random.Random(2)
     a = "".join(rng.choice("abcdefgh ") for _ in range(150))
