@@ -291,6 +291,18 @@ def slow_net(net, x):
     return out[-1]
 
 
+def test_convolution_rounds_each_step():
+    """Products and sums in single precision, one after the other as the SQL of dl_conv1x1_window64 has them."""
+    f = np.array([(a / b, c / d) for b in range(1, 25) for a in range(b + 1) for d in range(1, 25) for c in range(d + 1)])
+    x = np.pad(f, ((0, -len(f) % 64), (0, 0))).astype(np.float32).reshape(-1, 64, 2)
+    one = np.float32(1)
+    want = np.float32(1.5) * x[..., 0] + np.float32(-2.25) * x[..., 1] + np.float32(0.25)
+    layer = network.Layer(network.CONV, [0], 1, weight=np.array([[[1.5], [-2.25]]], np.float32), bias=np.array([0.25], np.float32))
+    assert (network.convolve(x, layer)[..., 0] == want).all()
+    layer.act = network.SIGMOID
+    assert (network.convolve(x, layer)[..., 0] == one / (one + np.exp(-want.astype(np.float64)).astype(np.float32))).all()
+
+
 def test_network(spark):
     from peakpool.plans.registry import autoencoder
 
