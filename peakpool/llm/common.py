@@ -10,6 +10,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -113,15 +114,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+@cache
+def packer(level: int) -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=level)
+
+
+@cache
+def unpacker() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
 def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays as one compressed value, to be moved as a single cell. Each array's first bytes stand together, then its second
     ones and so on, as numbers' high bytes are alike."""
     planes = [(a.dtype.str, np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes()) for a in arrays]
-    return zstandard.ZstdCompressor(level=level).compress(pickle.dumps(planes, protocol=5))
+    return packer(level).compress(pickle.dumps(planes, protocol=5))
 
 
 def unpack(cell: bytes) -> list[np.ndarray]:
-    planes = pickle.loads(zstandard.ZstdDecompressor().decompress(cell))
+    planes = pickle.loads(unpacker().decompress(cell))
     out = []
     for kind, data in planes:
         width = np.dtype(kind).itemsize

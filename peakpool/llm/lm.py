@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakpool.llm.common import as_bytes, crc_mod, dealt, discard, mix64, pack, part_count, parts, table, trim, unpack, written
+from peakpool.llm.common import as_bytes, crc_mod, discard, mix64, pack, part_count, parts, table, trim, unpack, written
 
 #: The end of a text as a token; no word has a line feed.
 END = b"\n"
@@ -19,6 +19,10 @@ END = b"\n"
 BLOCK_BYTES = 10 << 20
 #: The first level whose positions are written; up to there they are worked out again from the tokens, which takes less room.
 CARRIED = 3
+#: Buckets of a level, at least, where there are so many in all.
+LEAST_BUCKETS = 8
+#: A bucket's verdicts on a context: it is a state; it may have longer ones.
+KEPT, OPEN = 1, 2
 REPLY = "block bigint, level int, bucket int, payload binary, n bigint, v bigint, gain double"
 
 
@@ -46,14 +50,31 @@ class _Numbered(dict):
         return n
 
 
-def replied(replies: dict[int, tuple], order: np.ndarray, to: np.ndarray, column: int, kind) -> np.ndarray:
-    """A column of the buckets' replies, at the keys' own places. order: the keys as they were sent; to: each key's bucket."""
-    out = np.zeros(len(to), kind)
-    for bucket, at in dealt(to[order], order):
-        out[at] = replies[bucket][column]
+def joined_replies(replies: dict[int, tuple], column: int, kind) -> np.ndarray:
+    """A column of all buckets' replies, in the order in which the keys were sent."""
+    return np.concatenate([replies[b][column] for b in sorted(replies)]).astype(kind) if replies else np.empty(0, kind)
+
+
+def replied(replies: dict[int, tuple], order: np.ndarray, column: int, kind) -> np.ndarray:
+    """A column of the buckets' replies, at the keys' own places. order: the keys as they were sent, by bucket."""
+    out = np.zeros(len(order), kind)
+    out[order] = joined_replies(replies, column, kind)
     return out
 
 
+def starts(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in keys])
+    return np.flatnonzero(new)
+
+
+def spans(cut: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Begin and end of each of the runs that begin at cut, of n rows in all."""
+    return list(zip(cut.tolist(), np.append(cut, n)[1:].tolist(), strict=True))
+
+
 def small(x: np.ndarray) -> np.ndarray:
     """Numbers in 32 bits if they fit."""
     return x.astype(np.uint32 if x.max(initial=0) < 1 << 32 else np.uint64)
@@ -73,9 +94,11 @@ def ask_words(state: bytes, number: int, m: dict):
     """(bucket, words and their training counts, packed) for each bucket."""
     _, _, held, sizes, ids, words = unpack(state)
     order, to = words_sent(words, m)
-    c = np.bincount(ids[np.repeat(~held, sizes)], minlength=len(words))
-    for bucket, at in dealt(to[order], order):
-        yield bucket, pack(np.full(len(at), number, np.int64), words[at], c[at].astype(np.uint32))
+    c = np.bincount(ids[np.repeat(~held, sizes)], minlength=len(words)).astype(np.uint32)[order]
+    words, to = words[order], to[order]
+    cut = starts(to)
+    for bucket, (lo, hi) in zip(to[cut].tolist(), spans(cut, len(to)), strict=True):
+        yield bucket, pack(np.array([number], np.int64), words[lo:hi], c[lo:hi])
 
 
 class Front:
@@ -96,7 +119,7 @@ class Front:
         """Level 1, from a block's tokens and its words' counts."""
         doc, null, held, sizes, ids, words = unpack(state)
         order, to = words_sent(words, m)
-        seen, rank = (replied(replies, order, to, i, np.int64) for i in (0, 1))
+        seen, rank = (replied(replies, order, i, np.int64) for i in (0, 1))
         base = (seen + 1) / (m["n"] + (m["v"] + 1))
         owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         p = base[ids]
@@ -126,13 +149,14 @@ class Front:
 
     def pairs(self) -> None:
         """The distinct (context, word) pairs of the positions, their buckets and the order in which they are sent. A context's
-        pairs go to the bucket that has counted it, but for hot ones."""
+        pairs go to the bucket that has counted it, modulo the number of buckets that the level has, but for hot ones."""
         keys, self.back = np.unique(self.ctx.astype(np.int64) << 32 | self.tok.astype(np.int64), return_inverse=True)
         self.own, word = keys >> 32, self.words[keys & 0xFFFFFFFF]
         name = self.names[self.own]
         self.size = self.sizes[self.own]
         self.hot = self.size > self.m["hot"]
-        self.bucket = np.where(self.hot, pair_key(name, word) % np.uint64(self.m["buckets"]), name.astype(np.uint64) >> np.uint64(32)).astype(np.int32)
+        own = name.astype(np.uint64) >> np.uint64(32)
+        self.bucket = (np.where(self.hot, pair_key(name, word), own) % np.uint64(self.m["fold"][self.level])).astype(np.int32)
         self.sent = np.lexsort((name, self.bucket))
         self.word = word
 
@@ -147,22 +171,27 @@ class Front:
             below = small(np.maximum(np.rint(below * (self.m["n"] + (self.m["v"] + 1))) - 1, 0))
         else:
             below = np.where(below > 0, -np.log10(np.where(below > 0, below, 1)), 0).astype(np.float32)
-        for bucket, at in dealt(self.bucket[self.sent], self.sent):
-            run = np.flatnonzero(np.concatenate([[True], np.diff(self.own[at]) != 0]))
-            length = np.diff(np.append(run, len(at)))
-            own = at[run]
-            yield bucket, pack(np.array([number]), small(length), np.diff(self.names[self.own[own]], prepend=0), small(self.size[own]), small(self.word[at]), n[at], below[at], self.hot[own])
+        own, to = self.own[self.sent], self.bucket[self.sent]
+        run, cut = starts(own, to), starts(to)
+        first = np.searchsorted(run, cut)
+        name = self.names[own[run]]
+        step = np.diff(name, prepend=0)
+        step[first] = name[first]
+        by_run = [small(np.diff(np.append(run, len(own)))), step, *(x[self.sent[run]] for x in (small(self.size), self.hot))]
+        by_pair = [x[self.sent] for x in (small(self.word), n, below)]
+        for bucket, (lo, hi), (a, b) in zip(to[cut].tolist(), spans(cut, len(own)), spans(first, len(run)), strict=True):
+            yield bucket, pack(np.array([number]), *(x[a:b] for x in by_run), *(x[lo:hi] for x in by_pair))
 
     def answer(self, replies: dict[int, tuple]) -> None:
         """Takes the pairs' total counts, their contexts' verdicts, and the names of those that may be contexts themselves."""
         self.pairs()
         mu, self.pair = self.m["smoothing"], np.zeros(len(self.own), np.int64)
-        self.count = replied(replies, self.sent, self.bucket, 0, np.int64)
-        kept = replied(replies, self.sent, self.bucket, 1, bool) | self.hot & np.isin(self.names[self.own], self.m["kept_hot"].get(self.level, []))
-        self.open = replied(replies, self.sent, self.bucket, 2, bool)
-        for bucket, at in dealt(self.bucket[self.sent], self.sent):
-            named = at[(self.count[at] >= self.m["min_count"]) & self.open[at]]
-            self.pair[named] = np.int64(bucket) << 32 | replies[bucket][3].astype(np.int64)
+        self.count = replied(replies, self.sent, 0, np.int64)
+        flags = replied(replies, self.sent, 1, np.uint8)
+        kept = (flags & KEPT > 0) | self.hot & np.isin(self.names[self.own], self.m["kept_hot"].get(self.level, []))
+        self.open = flags & OPEN > 0
+        named = self.sent[((self.count >= self.m["min_count"]) & self.open)[self.sent]]
+        self.pair[named] = self.bucket[named].astype(np.int64) << 32 | joined_replies(replies, 2, np.int64)
         self.below = (self.count[self.back] + mu * self.below) / (self.size[self.back] + mu)
         self.final = np.where(kept[self.back], self.below, self.final)
 
@@ -186,17 +215,23 @@ def tally(t: pa.Table, level: int, model: dict) -> pa.Table:
     trim()
     bucket, rows = t.column("to")[0].as_py(), []
     got = list(map(unpack, t.column("payload").to_pylist()))
+    keys = np.array([len(x[-1]) for x in got])
+    first_key = np.cumsum(keys) - keys
+    each = lambda n, *arrays: zip(n.tolist(), *([x[lo:hi] for lo, hi in spans(first_key, keys.sum())] for x in arrays), strict=True)
     if level == 0:
-        block, words, c = (np.concatenate(x) for x in zip(*got, strict=True))
+        number, words, c = (np.concatenate(x) for x in zip(*got, strict=True))
         u, back = np.unique(words, return_inverse=True)
         total = np.bincount(back, weights=c, minlength=len(u)).astype(np.int64)
         rank = np.empty(len(u), np.int64)
         rank[np.argsort(-total, kind="stable")] = np.arange(len(u))  # frequent words have small numbers
         rows.append((None, 0, bucket, None, int(total.sum()), int((total > 0).sum()), None))
-        rows += [(b, 0, bucket, pack(small(x), small(y)), None, None, None) for b, x, y in dealt(block, total[back], rank[back])]
+        rows += [(b, 0, bucket, pack(x, y), None, None, None) for b, x, y in each(number, small(total[back]), small(rank[back]))]
     else:
-        got = [[np.repeat(number, len(word)), np.repeat(np.cumsum(name), length), word.astype(np.int64), np.repeat(size.astype(np.int64), length), n, below, np.repeat(hot, length)] for number, length, name, size, word, n, below, hot in got]
-        block, context, word, size, c, below, hot = (np.concatenate(x) for x in zip(*got, strict=True))
+        runs = np.array([len(x[1]) for x in got])
+        number, length, step, size, hot, word, c, below = (np.concatenate(x) for x in zip(*got, strict=True))
+        first, name = np.cumsum(runs) - runs, np.cumsum(step)
+        name -= np.repeat(name[first] - step[first], runs)  # each cell's first step is a name
+        context, size, hot, word = np.repeat(name, length), np.repeat(size.astype(np.int64), length), np.repeat(hot, length), word.astype(np.int64)
         u, one, back = np.unique(pair_key(context, word), return_index=True, return_inverse=True)
         total = np.bincount(back, weights=c, minlength=len(u))
         mu, own, whole, dealt_on = model["smoothing"], context[one], size[one], hot[one]
@@ -219,8 +254,10 @@ def tally(t: pa.Table, level: int, model: dict) -> pa.Table:
         for i in np.flatnonzero(np.bincount(of, weights=dealt_on, minlength=len(ctx)) > 0).tolist():
             rows.append((int(ctx[i]), -level, bucket, None, None, None, float(total_gain[i])))
         named = (total >= model["min_count"]) & open_
-        number = np.cumsum(named) - 1
-        rows += [(b, level, bucket, pack(small(x), y, z, small(i[v])), int(y.sum()), None, None) for b, x, y, z, i, v in dealt(block, total[back].astype(np.int64), kept[back], open_[back], number[back], named[back])]
+        rows.append((None, level, bucket, None, None, int(total[named].sum()), None))
+        flags = (kept * KEPT + open_ * OPEN).astype(np.uint8)[back]
+        place, to_name = small((np.cumsum(named) - 1)[back][named[back]]), np.append(0, np.cumsum(named[back]))[first_key]
+        rows += [(b, level, bucket, pack(x, y, place[lo:hi]), int((y & KEPT).sum()), None, None) for (b, x, y), (lo, hi) in zip(each(number, small(total[back].astype(np.int64)), flags), spans(to_name, len(place)), strict=True)]
     names = ["block", "level", "bucket", "payload", "n", "v", "gain"]
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.float64()]
     return pa.table({n: pa.array([r[i] for r in rows], kinds[i]) for i, n in enumerate(names)})
@@ -275,11 +312,12 @@ def pst_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "
 
     Documents are held in blocks; for each level a block sends its distinct (context, token) pairs with their counts to the
     context's bucket and gets back the totals and the verdict. From the third level on only the positions are written and
-    looked at that still have a context. Contexts with over an eighth of an average bucket's tokens are dealt by pair; their
+    looked at that still have a context. From the second on the number of buckets follows the training tokens that still have
+    one (twice their share of all buckets), as the cells that blocks and buckets exchange grow with the product of both. Contexts with over an eighth of an average bucket's tokens are dealt by pair; their
     gains are summed by Spark, and the states among them, at most eight times as many as buckets, are all that the driver sees.
     """
     n = part_count(docs)
-    model = {"buckets": n, "min_count": min_count, "smoothing": smoothing, "min_gain": min_gain, "n": 0, "v": 0, "hot": float("inf"), "kept_hot": {}}
+    model = {"buckets": n, "min_count": min_count, "smoothing": smoothing, "min_gain": min_gain, "n": 0, "v": 0, "hot": float("inf"), "kept_hot": {}, "fold": {1: n}}
     state, base = written(blocks(docs, id_col, text_col, train, block_bytes)), 0
 
     def met(f, names, kinds, schema: str, m: dict, base: int, upto: int) -> DataFrame:
@@ -305,8 +343,7 @@ def pst_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "
     def words_asked(batches):
         for b in batches:
             for name, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for to, x in ask_words(payload, name, first):
-                    yield pa.RecordBatch.from_arrays([pa.array([to], pa.int32()), pa.array([x], pa.binary())], ["to", "payload"])
+                yield from pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*ask_words(payload, name, first), strict=True), (pa.int32(), pa.binary()), strict=True)], ["to", "payload"]).to_batches()
 
     def asked(front: Front, block: int):
         rows = list(front.ask(block))
@@ -340,7 +377,9 @@ def pst_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "
         hot = told.where(f"level = {-level}").groupBy("block").agg(F.sum("gain").alias("gain")).where(F.col("gain") >= min_gain)
         kept_hot = np.array([r["block"] for r in hot.select("block").collect()], np.int64)
         model["kept_hot"] = model["kept_hot"] | {level: kept_hot}
-        kept = len(kept_hot) + (told.where(f"level = {level}").agg(F.sum("n").alias("n")).first()["n"] or 0)
+        sums = told.where(f"level = {level}").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+        kept = len(kept_hot) + (sums["n"] or 0)
+        model["fold"] = model["fold"] | {level + 1: min(n, max(LEAST_BUCKETS, -(-2 * n * (sums["v"] or 0) // max(1, model["n"]))))}
         old.append(told)
         if base:
             replies = told

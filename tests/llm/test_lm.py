@@ -112,3 +112,25 @@ def test_contexts_grow_until_none_is_a_state(spark, monkeypatch):
     whole, cut = (list(brute([(i % 5 != 2, t) for i, t in rows], d, 8, 4.0, 3.0)) for d in (7, 2))
     for (i, _), (*_, score), (*_, short) in zip(rows, whole, cut, strict=True):
         assert abs(got[i].score - score) < 1e-6 * abs(score) and got[i].score > short + 1
+
+
+def test_cells_follow_the_open_contexts(spark, monkeypatch):
+    """Cells are blocks times buckets: a level has as many buckets as its open contexts need, and all scores stay."""
+    written, cells, scores = L.written, [], {}
+
+    def counted(df):
+        w = written(df)
+        if "level" in w.columns:
+            cells.append(w.where("level > 0 and block is not null").count())
+        return w
+
+    monkeypatch.setattr(L, "written", counted)
+    rng = random.Random(6)
+    rows = [(i, f"{t or ''} {' '.join(f'w{rng.randrange(2000)}' for _ in range(300))}") for i, t in corpus(5, 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    for buckets in (3, 60):
+        monkeypatch.setattr(L, "part_count", lambda df, n=buckets: n)
+        cells.clear()
+        scores[buckets] = {r.doc_id: r.score for r in L.pst_scores(df, L.F.col("doc_id") % 5 != 2, depth=4, block_bytes=100_000).collect()}
+    assert len(scores[60]) == len(rows) and all(abs(s - scores[60][i]) < 1e-6 * abs(s) for i, s in scores[3].items())
+    assert cells[1] > 0 and cells[3] < cells[1] / 2 and cells[4] < cells[1] / 2
