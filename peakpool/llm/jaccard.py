@@ -1,4 +1,5 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles: MinHash bands propose pairs, the whole sets confirm them."""
+"""Near-duplicates by the exact Jaccard similarity of word shingles: a vantage-point tree over SimHash fingerprints and MinHash
+bands propose pairs, the whole sets confirm them."""
 
 from __future__ import annotations
 
@@ -13,7 +14,10 @@ from pyspark.sql import functions as F
 
 from peakpool.llm.common import as_bytes, mix64, parts, trim, written
 from peakpool.llm.components import components
+from peakpool.llm.simhash import links, majority
 
+#: Fingerprints that differ in so many bits at most are near for the tree.
+RADIUS = 3
 #: Two sets of similarity s share no band with a probability of (1 - s^ROWS)^BANDS: 1.2e-7 at 0.8, 2e-13 at 0.88.
 BANDS, ROWS = 40, 5
 FACTORS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -45,7 +49,8 @@ def similar(a: np.ndarray, b: np.ndarray, least: tuple[int, int]) -> bool:
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, told: hash of the text, node: hash of its set of shingles, 0 if empty, n of the set, keys: its bands)."""
+    """(id, told: hash of the text, node: hash of its set of shingles, 0 if empty, n of the set, fp: the set's SimHash
+    fingerprint, keys: its bands)."""
 
     def run(batches):
         for b in parts(batches, 1):
@@ -53,11 +58,21 @@ def measured(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
             node = np.array([xxhash.xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], np.uint64)
             keys = np.concatenate([band_keys(s) for s in sets]) if sets else np.empty(0, np.uint64)
             n = np.fromiter(map(len, sets), np.int32, len(sets))
+            fp = np.array([majority(s) for s in sets], np.uint64)
             ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(node.view(np.int64)), pa.array(n), pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64)))], [id_col, "told", "node", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(node.view(np.int64)), pa.array(n), pa.array(fp.view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64)))], [id_col, "told", "node", "n", "fp", "keys"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col, F.xxhash64(text_col).alias("told")).mapInArrow(run, f"`{id_col}` {kind}, told bigint, node bigint, n int, keys array<bigint>")
+    return docs.select(id_col, text_col, F.xxhash64(text_col).alias("told")).mapInArrow(run, f"`{id_col}` {kind}, told bigint, node bigint, n int, fp bigint, keys array<bigint>")
+
+
+def near_fingerprints(rows: DataFrame) -> DataFrame:
+    """(key, node, n): nodes whose fingerprints are alike or stand in one star of the tree's links share a key. Any two at RADIUS
+    bits or fewer do, as the shard in which they meet joins them to one smallest fingerprint."""
+    nodes = rows.where("n > 0").select("node", "n", "fp").distinct()
+    stars = links(written(nodes.select("fp").distinct()), RADIUS).distinct()
+    keys = stars.select(F.col("u").alias("fp"), F.col("v").alias("key")).union(nodes.select("fp", F.col("fp").alias("key")).distinct())
+    return nodes.join(written(keys), "fp").select(F.xxhash64("key").alias("key"), "node", "n")
 
 
 def contents(nodes: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
@@ -90,8 +105,8 @@ def confirmed(pairs: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str,
 
 
 def between(node: np.ndarray, root: np.ndarray, side: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], least: tuple[int, int]) -> list[tuple[int, int]]:
-    """Links that join just those nodes of two blocks that similar pairs with a band in common connect; of one block, if side
-    is the same for all. Nodes of one root are connected already."""
+    """Links that join just those nodes of two blocks that similar pairs with a band in common, or with fingerprints at RADIUS
+    bits or fewer, connect; of one block, if side is the same for all. Nodes of one root are connected already."""
     up: dict[int, int] = {}
 
     def find(i: int) -> int:
@@ -103,10 +118,12 @@ def between(node: np.ndarray, root: np.ndarray, side: np.ndarray, bands: np.ndar
     left = np.flatnonzero(side == side.min()) if len(side) else side
     right = np.flatnonzero(side == side.max()) if len(side) else side
     size, out = np.fromiter(map(len, sets), np.int64, len(sets)), []
+    fp = np.fromiter(map(majority, sets), np.uint64, len(sets))
     for at in range(0, len(left), 32):
         a = left[at : at + 32]
         fits = np.minimum(size[a][:, None], size[right][None, :]) * least[1] >= np.maximum(size[a][:, None], size[right][None, :]) * least[0]
-        fits &= (root[a][:, None] != root[right][None, :]) & (bands[a][:, None, :] == bands[right][None, :, :]).any(axis=2)
+        near = (bands[a][:, None, :] == bands[right][None, :, :]).any(axis=2) | (np.bitwise_count(fp[a][:, None] ^ fp[right][None, :]) <= RADIUS)
+        fits &= (root[a][:, None] != root[right][None, :]) & near
         for i, j in zip(*np.nonzero(fits), strict=True):
             x, y = int(a[i]), int(right[j])
             u, v = find(int(root[x])), find(int(root[y]))
@@ -117,7 +134,7 @@ def between(node: np.ndarray, root: np.ndarray, side: np.ndarray, bands: np.ndar
 
 
 def apart_links(apart: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str, shingle: int, least: tuple[int, int], block: int) -> DataFrame:
-    """(u, v): links between nodes (key, node, root) that share a band but no root. Nodes that bands connect form a family; a
+    """(u, v): links between nodes (key, node, root) that share a key but no root. Nodes that keys connect form a family; a
     family is cut into blocks, and each two blocks are searched by a group of their own, which sends links that span what it has
     connected and never the pairs. So a node is sent as often as its family has blocks."""
     first = apart.groupBy("key").agg(F.min("node").alias("u"))
@@ -143,16 +160,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, component_id) for every row of docs: texts whose sets of shingles have a Jaccard similarity of least[0] / least[1]
     or more are linked, and component_id is the smallest id reachable.
 
-    Texts with one set of shingles are one node, so copies cost nothing after the first aggregation. Nodes that share a band
-    are candidates, and a link is a candidate pair whose whole sets are similar. First each band's nodes are held against the
-    band's smallest node; then, in blocks of `block` nodes, all candidates that this has left in different components are, so
+    Texts with one set of shingles are one node, so copies cost nothing after the first aggregation. Nodes whose fingerprints
+    op5's vantage-point tree links, at RADIUS bits or fewer, share a key; so do nodes with a MinHash band in common,
+    for the similar ones that lie further apart. Nodes that share a key are candidates, and a link is a candidate pair whose
+    whole sets are similar. First each key's nodes are held against the key's smallest node; then, in blocks of `block` nodes, all candidates that this has left in different components are, so
     that a large group costs about its size, no pair is sent and none is passed over. Very long texts are read whole. Null and wordless texts have the empty set and are linked with each other only; a
     null id keeps its row and is no component's name unless all its ids are null; repeated rows give repeated rows; an empty
     table gives none. Other columns of docs are not read.
     """
     rows = written(measured(docs, id_col, text_col, shingle))
     band = Window.partitionBy("key")
-    keyed = rows.where("n > 0").select(F.explode("keys").alias("key"), "node", "n")
+    keyed = rows.where("n > 0").select(F.explode("keys").alias("key"), "node", "n").union(near_fingerprints(rows))
     keyed = keyed.withColumns({"low": F.min(F.struct("node", "n")).over(band), "high": F.max("node").over(band)}).where("low.node < high")
     groups = written(keyed.select("key", "node", "n", "low").distinct())
     near = lambda a, b: (F.least(a, b) * F.lit(least[1]) >= F.greatest(a, b) * F.lit(least[0]))

@@ -26,7 +26,11 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     if not w:
         return 0
     grams = [b" ".join(w)] if len(w) < shingle else list(map(b" ".join, zip(*(w[i:] for i in range(shingle)), strict=False)))
-    h = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), grams), np.uint64, len(grams))
+    return majority(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), grams), np.uint64, len(grams)))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 15):
         ones += np.unpackbits(h[at : at + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)

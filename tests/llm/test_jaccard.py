@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline as P
 from peakpool.llm import jaccard as J
 
@@ -85,3 +87,25 @@ def test_a_large_family_of_unlike_texts_sends_links_only(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in J.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block=70).collect()}
     assert got == dict(enumerate(want))
     assert len(set(want)) > 30 and max(sent) < 60 * 300  # 40 bands each, never the 45,000 pairs
+
+
+def test_the_tree_finds_a_pair_that_shares_no_band(spark):
+    """Similarity 0.8 of two texts made to have no band in common; their fingerprints are three bits apart."""
+    common = "w44224 w19009 w58735 w76267 w5709 w93411 w45242 w32176 w73997 w2131 w17252 w620"
+    texts = [f"{common} z260931", f"{common} z42055", "quite another text of more than five words"]
+    a, b, _ = (J.shingles(t.encode()) for t in texts)
+    assert J.similar(a, b, (4, 5)) and not (J.band_keys(a) == J.band_keys(b)).any()
+    texts += [f"{common} {common} other"]  # near neither
+    want, _ = plain_roots(texts)
+    assert want == [0, 0, 2, 3]
+    got = J.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(want))
+
+
+def test_blocks_hold_pairs_that_only_the_tree_proposes():
+    """Two similar sets that share no band, only near fingerprints, in one block and in two."""
+    common = "w44224 w19009 w58735 w76267 w5709 w93411 w45242 w32176 w73997 w2131 w17252 w620"
+    sets = [J.shingles(t.encode()) for t in (f"{common} z260931", f"{common} z42055", "quite another text of more than five words")]
+    node, bands = np.arange(3), np.stack([J.band_keys(s) for s in sets])
+    for side in (np.zeros(3, np.int64), np.array([0, 1, 1])):
+        assert J.between(node, node, side, bands, sets, (4, 5)) == [(0, 1)]
